@@ -105,8 +105,51 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
 
-    def hashes(self) -> np.ndarray:
-        return spans_hash(_BYTE[self.data], self.starts, self.ends)
+    def hashes(self, block: int = 1 << 20) -> np.ndarray:
+        """A 64-bit hash of each word, block by block of bytes."""
+        out, at, n = np.empty(len(self), np.uint64), 0, len(self)
+        while at < n:
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + block, "right")))
+            s, e = self.starts[at:to] - base, self.ends[at:to] - base
+            out[at:to] = spans_hash(_BYTE[self.data[base : base + e[-1]]], s, e)
+            at = to
+        return out
+
+    def same(self, i: np.ndarray, j: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+        """Whether the words i equal the words j, byte for byte."""
+        size = self.ends - self.starts
+        out = size[i] == size[j]
+        for k in range(0, len(i), block):
+            ok = np.flatnonzero(out[k : k + block]) + k
+            n = size[i[ok]]
+            differs = self.data[ranges(self.starts[i[ok]], n)] != self.data[ranges(self.starts[j[ok]], n)]
+            bad = np.flatnonzero(differs)
+            if len(bad):
+                out[ok[np.searchsorted(np.cumsum(n), bad, "right")]] = False
+        return out
+
+    def same_windows(self, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+        """Whether the windows at words i (ascending) equal those at words j. Where a pair follows its neighbour only its last word is compared."""
+        if not len(i):
+            return np.zeros(0, bool)
+        follows = np.zeros(len(i), bool)
+        follows[1:] = (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)
+        heads = np.flatnonzero(~follows)
+        head_ok = np.ones(len(heads), bool)
+        for k in range(size - 1):
+            head_ok &= self.same(i[heads] + k, j[heads] + k)
+        last = self.same(i + size - 1, j + size - 1)
+        if last.all() and head_ok.all():
+            return last
+        bad = np.zeros(len(i) + 1, np.int64)  # a pair is equal if the last `size` steps of its run and, near its head, the head are
+        np.cumsum(~last, out=bad[1:])
+        k = np.arange(len(i))
+        head = heads[np.searchsorted(heads, k, "right") - 1]
+        near = k - head < size
+        wrong = bad[k + 1] - bad[np.where(near, head, k - size + 1)] > 0
+        wrong |= near & np.repeat(~head_ok, np.diff(np.append(heads, len(i))))
+        return ~wrong
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)
