@@ -26,6 +26,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, _vocabulary(), lexicon)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import neardup
+
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import substrings
 
@@ -42,6 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_substring_dedup": op3_substring_dedup,
         "op10_token_files": op10_token_files,
