@@ -38,6 +38,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import decontaminate
+
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import _store, tokens
 
@@ -51,9 +57,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_substring_dedup": op3_substring_dedup,
+        "op7_decontamination": op7_decontamination,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from folio.llm import decontaminate
+
+    return {"op7_decontamination": decontaminate.oracle()}
