@@ -38,12 +38,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import rules
+
+    return rules.judge(_table(spark, sf_dir, "documents")).drop("rule")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import decontaminate
 
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import _store, tokens
 
@@ -57,7 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_substring_dedup": op3_substring_dedup,
+        "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
+        "op9_warc": op9_warc,
         "op10_token_files": op10_token_files,
     }
 
