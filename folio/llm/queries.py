@@ -38,6 +38,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import _labels, quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    held_out = _labels.remainder(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("good").alias("predicted"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import _labels, toxicity
 
@@ -79,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
