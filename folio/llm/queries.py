@@ -70,6 +70,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import html
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import warc
 
@@ -93,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
+        "op8_html_extraction": op8_html_extraction,
         "op9_warc": op9_warc,
         "op10_token_files": op10_token_files,
     }
