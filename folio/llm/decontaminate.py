@@ -25,17 +25,18 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(frame: DataFrame, hashes: str, place: str) -> DataFrame:
-    """frame with a row for each mask and place: `place` and `seed`. Nothing leaves whole-stage code: the array stays one value."""
-    n = len(MASKS)
-    steps = F.greatest(F.size(hashes) - F.lit(SPAN - 1), F.lit(0)) * n
-    rows = frame.withColumn("__j", F.explode(F.when(steps > 0, F.sequence(F.lit(0), steps - 1))))
-    at = F.floor(F.col("__j") / n).cast("int")
-    rows = rows.withColumn(place, at)
-    seed = None
-    for m, mask in enumerate(MASKS):
-        value = F.xxhash64(F.lit(m), *(F.get(F.col(hashes), F.col(place) + o) for o in mask))
-        seed = F.when(F.col("__j") % n == m, value) if seed is None else seed.when(F.col("__j") % n == m, value)
-    return rows.withColumn("seed", seed).drop("__j")
+    """A row for each mask and place instead of the tokens: `place` and `seed`."""
+    n = F.greatest(F.size(hashes) - F.lit(SPAN - 1), F.lit(0))
+    first = F.slice(hashes, F.lit(1), n)
+
+    def seeds(m: int) -> Column:  # every mask keeps its first place
+        return F.transform(first, lambda t, i: F.xxhash64(F.lit(m), t, *(F.get(F.col(hashes), i + o) for o in MASKS[m][1:])))
+
+    others = [c for c in frame.columns if c != hashes]
+    rows = frame.select(*others, n.alias("__n"), F.flatten(F.array(*map(seeds, range(len(MASKS))))).alias("__seeds"))
+    # the outer form: for the other, the optimiser infers a filter and works out the whole array once more within it
+    rows = rows.select(*others, "__n", F.posexplode_outer("__seeds").alias("__j", "seed")).where("seed is not null")
+    return rows.select(*others, (F.col("__j") % F.col("__n")).alias(place), "seed")
 
 
 def _agreement() -> tuple[Column, Column]:
@@ -56,20 +57,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column:
     one result, the best of them; null keys are grouped as one key. Empty tables give an empty result. Other columns are
     not read, whatever their names.
     """
+    from folio.llm import _store
+
     test = benchmark.select(F.col(item).alias("__id"), tokens(F.col(item_column)).alias("__item"))
-    seeds = _seeds(test, "__item", "__q").select("__id", "__item", "__q", "seed")
-    small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    train = docs.select(F.col(key).alias("__key"), tokens(F.col(column)).alias("__doc"))
-    if small:
-        hits = _seeds(train, "__doc", "__p").join(F.broadcast(seeds), "seed")
-        hits = hits.withColumn("__at", F.col("__p") - F.col("__q"))
-    else:
-        # many items: hits travel without texts, and each diagonal meets its texts once
-        places = _seeds(train, "__doc", "__p").select("__key", F.xxhash64("__doc").alias("__h"), "__p", "seed")
-        found = places.join(seeds.drop("__item"), "seed").select("__key", "__h", "__id", (F.col("__p") - F.col("__q")).alias("__at")).distinct()
-        named = train.withColumn("__h", F.xxhash64("__doc"))
-        met = found.alias("f").join(named.alias("d"), F.col("f.__key").eqNullSafe(F.col("d.__key")) & (F.col("f.__h") == F.col("d.__h")))
-        hits = met.select("f.__key", "f.__id", "f.__at", "d.__doc").join(test, "__id")
+    seeds = _seeds(test, "__item", "__q")
+    if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
+        seeds = F.broadcast(seeds)
+    train = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(column)).alias("__h"), F.col(column).alias("__text"))
+    places = _seeds(train.select("__key", "__h", tokens(F.col("__text")).alias("__doc")), "__doc", "__p")
+    found = places.join(seeds, "seed").select("__key", "__h", "__id", (F.col("__p") - F.col("__q")).alias("__at")).distinct()
+    # hits are written, so that the next join knows their size: few are broadcast, many are shuffled
+    found = _store.written(found, "hits")
+    met = train.alias("d").join(found.alias("f"), F.col("d.__key").eqNullSafe(F.col("f.__key")) & (F.col("d.__h") == F.col("f.__h")))
+    hits = met.select("f.__key", "f.__id", "f.__at", "d.__text").join(test, "__id").withColumn("__doc", tokens(F.col("__text")))
     agree, measure = _agreement()
     judged = hits.withColumn("__agree", agree).withColumn("__m", measure)
     judged = judged.where(F.col("__m.best") * WINDOW >= F.col("__m.width") * AGREE)
