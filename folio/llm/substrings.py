@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from folio.llm import _text
 
-MER = 3
+MER = 2
 CHUNK = 8 << 20  # bytes of text in which a map task settles repeats itself
 FINE = 16  # buckets for each shuffle partition; one bucket at a time is in memory
+_ZSTD = pa.Codec("zstd", 5)
 NULL_ID = -(1 << 63)
 _SHIPPED = "bucket int, blob binary, k long, h long, starts array<int>, ends array<int>"
 
@@ -82,7 +83,7 @@ def _pack(batch: pa.RecordBatch, size: int, buckets: int) -> Iterator[pa.RecordB
     if len(again):
         r, s, e = _spans(at[again], row[at[again]], size)
         which, ls, le = _lists(r, s - words.rows[r], e - words.rows[r])
-        yield _ranges_batch(k[which], h[which], (h[which] % buckets).astype(np.int32), ls, le)
+        yield _ranges_batch(k[which], h[which], (_text.mix((h ^ k)[which].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), ls, le)
     left = np.ones(len(at), bool)
     left[again] = False
     mers = _text.mix(_text.spans_hash(hashes, np.arange(len(hashes) - MER + 1), np.arange(MER, len(hashes) + 1)) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -106,7 +107,7 @@ def _pack(batch: pa.RecordBatch, size: int, buckets: int) -> Iterator[pa.RecordB
     blobs = []
     for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
         plain = np.int64(y - x).tobytes() + np.ascontiguousarray(head[x:y].T).tobytes() + b"".join([raw[p:q] for p, q in zip(s[x:y].tolist(), e[x:y].tolist(), strict=True)])
-        blobs.append(len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True))
+        blobs.append(len(plain).to_bytes(8, "little") + _ZSTD.compress(plain, asbytes=True))
     n = len(blobs)
     none = pa.nulls(n, pa.list_(pa.int32()))
     yield pa.record_batch([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), none, none], ["bucket", "blob", "k", "h", "starts", "ends"])
