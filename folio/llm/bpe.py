@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _text
+from folio.llm import _store, _text
 
 LIMIT = 0x300  # code points below need no normalisation
 SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
@@ -436,14 +436,22 @@ def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, column: str = "text", frequent: int = FREQUENT) -> str:
-    """Compile the corpus's `frequent` most frequent pieces (a fixed number) and hand the file to every executor; its name."""
+    """Compile the corpus's most frequent pieces, `frequent` at most, and hand the file to every executor; its name."""
     import os
     import tempfile
     import uuid
 
     spark = docs.sparkSession
-    top = piece_counts(docs, column).orderBy(F.desc("n"), "piece").limit(frequent).select("piece")
-    words = [bytes(r[0]) for r in top.collect()]
+    counts = _store.written(piece_counts(docs, column), "pieces")
+    # the least count that keeps within `frequent`, from a histogram of bounded size: eight steps an octave
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, cut = 0, 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("pieces")).orderBy(F.desc("step")).collect():
+        total += row["pieces"]
+        if total > frequent:
+            cut = row["step"] + 1
+            break
+    words = [bytes(r[0]) for r in counts.where(step >= cut).select("piece").collect()]
     folder = tempfile.mkdtemp()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     Lexicon.save(os.path.join(folder, name), words, vocabulary(vocab_path))
@@ -452,7 +460,8 @@ def build_lexicon(docs: DataFrame, vocab_path: str, column: str = "text", freque
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon: str | None = None, column: str = "text") -> DataFrame:
-    """docs with `ids` array<int>: the tokens of each whole text (null and empty texts: none)."""
+    """docs with `ids` array<int>: the tokens of each whole text (null and empty texts: none); an input column `ids` is replaced."""
+    docs = docs.drop("ids")
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,9 +470,6 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: str | None = None, column:
             ids, rows = enc(b.column(names.index(column)).to_pylist())
             yield pa.record_batch([*b.columns, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids))], [*names, "ids"])
 
-    schema = docs.drop("ids").schema if "ids" in names else docs.schema
-    if "ids" in names:
-        raise ValueError("the input already has a column `ids`")
     from pyspark.sql import types as T
 
     return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))

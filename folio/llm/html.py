@@ -453,13 +453,11 @@ def main_text(pages: DataFrame, column: str = "html", trees: Trees | None = None
     """pages with `main_text` string and `main_chars` long (its code points) in place of the html column.
 
     Null and empty pages, and pages without main nodes, give an empty text. Rows pass through one by one; an empty table
-    gives an empty result.
+    gives an empty result; input columns of the new names are replaced.
     """
-    for name in ("main_text", "main_chars"):
-        if name in pages.columns:
-            raise ValueError(f"the input already has a column `{name}`")
     from pyspark.sql import types as T
 
+    pages = pages.drop("main_text", "main_chars")
     shared = pages.sparkSession.sparkContext.broadcast(trees or fitted())  # ROUNDS trees a state
     names, at = pages.columns, pages.columns.index(column)
     rest = [n for n in names if n != column]

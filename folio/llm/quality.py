@@ -186,13 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
 def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with `quality_score` double (0 to 1, higher is better) and `good` int (1 at the threshold or above).
 
-    Null and empty texts are one empty passage. Rows pass through one by one; an empty table gives an empty result.
+    Null and empty texts are one empty passage. Rows pass through one by one; an empty table gives an empty result;
+    input columns of the new names are replaced.
     """
-    for name in ("quality_score", "good"):
-        if name in docs.columns:
-            raise ValueError(f"the input already has a column `{name}`")
     from pyspark.sql import types as T
 
+    docs = docs.drop("quality_score", "good")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about a thousand numbers
     at, names = docs.columns.index(column), docs.columns
 

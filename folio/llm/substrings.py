@@ -232,13 +232,12 @@ def remove_repeats(docs: DataFrame, size: int = 20, key: str = "doc_id", column:
 
     A word goes if a window of `size` words of its document that covers it also starts earlier: in a document with a
     smaller key, or earlier in the same one. Documents are ordered by (key, hash of the text), null keys first; rows that
-    repeat both are one document and get one result. Null and empty texts have no words. Other columns pass through.
+    repeat both are one document and get one result. Null and empty texts have no words. Other columns pass
+    through; input columns of the new names are replaced. An empty table gives an empty result.
     """
-    for name in ("n_words", "n_removed", "kept", "__k", "__h"):
-        if name in docs.columns:
-            raise ValueError(f"the input already has a column `{name}`")
     from pyspark.sql import types as T
 
+    docs = docs.drop("n_words", "n_removed", "kept")
     spans = repeated_spans(docs, size, key, column).withColumnsRenamed({"k": "__k", "h": "__h", "starts": "__starts", "ends": "__ends"})
     keyed = docs.withColumns({"__k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(F.col(column))})
     both = keyed.join(spans, ["__k", "__h"], "left").select(*docs.columns, F.coalesce("__starts", F.array().cast("array<int>")).alias("__starts"), F.coalesce("__ends", F.array().cast("array<int>")).alias("__ends"))

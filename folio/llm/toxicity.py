@@ -29,6 +29,7 @@ WORDS = {
     REPORT: "said says say called calls wrote claimed reported quoted according sagte sagt nannte schrieb laut dit disait écrit selon dijo dice llamó escribió según",
     THREAT: "kill killing hurt murder strangle stab shoot töten umbringen schlagen tuer frapper matar golpear",
 }
+FIT_ROWS = 3000  # labelled rows that the model is fitted on, at most
 REACH = 3  # words over which a negation holds
 LEAST_PREFIX, MOST_PREFIX = 3, 8
 LEAST_TEXTS, LEAST_SHARE = 3, 0.015  # toxic texts with a word or stem (copies of one text make rare words look telling)
@@ -220,31 +221,33 @@ def _g(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
 def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, most: int = 512) -> dict[str, tuple[int, float]]:
     """Words and stems that mark toxic texts: all whose likelihood ratio is beyond
     chance, then the best for the toxic texts that these leave, and so on."""
-    sets = []
-    for k in range(0, len(texts), 256):
-        part = texts[k : k + 256]
-        t = Tokens(part)
-        chars = t.cps.tobytes().decode("utf-32-le", "surrogatepass")
-        found: list[set[str]] = [set() for _ in part]
-        for r, s, e in zip(t.row.tolist(), t.starts.tolist(), t.ends.tolist(), strict=True):
-            found[r].add(chars[s:e])
-        sets.append(found)
-    words = [w for part in sets for w in part]
     pos, neg = int(labels.sum()), int((1 - labels).sum())
     if not pos or not neg:
         return {}
 
-    def names(w: str) -> list[str]:
-        return ["=" + w, *(w[:k] for k in range(LEAST_PREFIX, min(MOST_PREFIX, len(w) - 1) + 1))]
+    def names_of(which: np.ndarray) -> Iterator[set[str]]:
+        """The words and stems of each text, a few texts at a time."""
+        for k in range(0, len(which), 64):
+            part = [texts[i] for i in which[k : k + 64]]
+            t = Tokens(part)
+            chars = t.cps.tobytes().decode("utf-32-le", "surrogatepass")
+            found: list[set[str]] = [set() for _ in part]
+            for r, s, e in zip(t.row.tolist(), t.starts.tolist(), t.ends.tolist(), strict=True):
+                found[r].add(chars[s:e])
+            for words in found:
+                yield {x for w in words for x in ("=" + w, *(w[:k] for k in range(LEAST_PREFIX, min(MOST_PREFIX, len(w) - 1) + 1)))}
 
     few = max(LEAST_TEXTS, int(np.ceil(LEAST_SHARE * pos)))
-    bad = [set(x for w in s for x in names(w)) for s, y in zip(words, labels, strict=True) if y]
-    seen = Counter(x for s in bad for x in s)
-    maybe = {x for x, n in seen.items() if n > 1}
+    toxic = np.flatnonzero(labels == 1)
+    seen: Counter[str] = Counter()
+    for s in names_of(toxic):
+        seen.update(s)
+    maybe = {x for x, n in seen.items() if n >= LEAST_TEXTS}
+    seen = Counter({x: seen[x] for x in maybe})
+    bad = [s & maybe for s in names_of(toxic)]
     clean: Counter[str] = Counter()
-    for s, y in zip(words, labels, strict=True):
-        if not y:
-            clean.update({x for w in s for x in names(w) if x in maybe})
+    for s in names_of(np.flatnonzero(labels == 0)):
+        clean.update(s & maybe)
     out: dict[str, tuple[int, float]] = {}
 
     def weight(a: float, b: float, n: int) -> tuple[int, float]:
@@ -258,7 +261,7 @@ def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, mos
         return sorted(((round(float(g[i]), 6), len(x.lstrip("=")), x) for i, x in enumerate(cand) if g[i] >= least), reverse=True)
 
     sure = 3 * np.log(100 * max(1, sum(n >= few for n in seen.values())))  # chance alone is not to reach it among so many
-    for value, _, x in ranked(Counter({x: seen[x] for x in maybe}), pos):
+    for value, _, x in ranked(seen, pos):
         if value < max(least, sure):
             break
         plain = x.lstrip("=")
@@ -268,7 +271,7 @@ def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, mos
         new = sum(x in s and not s & longer for s in bad) if longer else seen[x]
         if new >= few and new * neg > RATIO * clean[x] * pos and _g(np.array([float(new)]), np.array([float(clean[x])]), pos, neg)[0] >= max(least, sure):
             out[x] = weight(new, clean[x], pos)
-    left = [s & maybe for s in bad if not s & out.keys()]
+    left = [s for s in bad if not s & out.keys()]
     seen = Counter(x for s in left for x in s)
     while left and len(out) < most:
         best = ranked(seen, len(left))
@@ -310,7 +313,9 @@ class Model:
             old = entries.get(x, (0, 0.0))
             entries[x] = (old[0] | kind, max(old[1], weight))
         if labels.any() and not labels.all():
-            scale = fit_scale(features(texts, Lexicon(entries)), labels)
+            lexicon = Lexicon(entries)
+            x = np.concatenate([features(texts[k : k + 64], lexicon) for k in range(0, len(texts), 64)])
+            scale = fit_scale(x, labels)
         else:  # no labels to learn from: one matched clause is toxic
             scale = np.array([3.0, 3.0, 1.0, 0.0, 0.0, -2.0])
         return cls(entries, scale)
@@ -326,8 +331,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Model:
-    """The model from up to _labels.ROWS labelled rows, none of them held out (crc32 of the key mod 3 is 1)."""
-    rows = _labels.sample(docs, labels, label, _labels.remainder(F.col(key), 3) != 1, key, column)
+    """The model from up to FIT_ROWS labelled rows, none of them held out (crc32 of the key mod 3 is 1)."""
+    rows = _labels.sample(docs, labels, label, _labels.remainder(F.col(key), 3) != 1, key, column, FIT_ROWS)
     return Model.fit(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(float))
 
 
@@ -335,13 +340,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "tex
     """docs with `toxicity` double (0 to 1) and `toxic` int (1 at the threshold or above), from whole texts alone.
 
     Null and empty texts match no clause and get the score of no match. Rows pass through one by one; an empty table
-    gives an empty result.
+    gives an empty result; input columns of the new names are replaced.
     """
-    for name in ("toxicity", "toxic"):
-        if name in docs.columns:
-            raise ValueError(f"the input already has a column `{name}`")
     from pyspark.sql import types as T
 
+    docs = docs.drop("toxicity", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of words and stems
     at, names = docs.columns.index(column), docs.columns
 

@@ -1,0 +1,457 @@
+"""Each operator against brute force or an exact round trip, and on nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folio.llm import _labels, _text, bpe, decontaminate, html, neardup, quality, rules, substrings, tokens, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CLASH = ("lang", "k", "h", "id", "node", "n_words", "kept", "ids", "toxic", "good", "key", "bands", "start", "n_chars")
+
+
+@pytest.fixture(scope="module")
+def path():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def made(seed, n, words=400):
+    """Invented documents with repeated passages, copies and near copies; rows (doc_id, text)."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefgé") for _ in range(r.randint(1, 6))) for _ in range(words)]
+    say = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    shared = [say(60) for _ in range(3)]
+    out = []
+    for k in range(n):
+        text = say(r.randint(0, 150))
+        if r.random() < 0.3:
+            text += "\n" + r.choice(shared) + "\t" + say(5)
+        if out and r.random() < 0.2:
+            text = r.choice(out)[1]
+        if out and r.random() < 0.3:
+            w = r.choice(out)[1].split(" ")
+            if len(w) > 90:
+                w[r.randrange(len(w))] = "changed"
+                text = " ".join(w)
+        out.append((k, text))
+    return out
+
+
+def edges(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(1, "one two three"), (1, "one two three"), (1, "other text here"), (None, "one two three"), (None, None), (2, None), (3, ""), (4, " \t\n"), (5, long), (6, "x" * 300_000), (7, "ab " * 100), (8, "ab " * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit(7) for c in CLASH})
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+# --- words ----------------------------------------------------------------------------------------
+
+
+def test_words_and_windows():
+    texts = ["a b  c", None, "", " x\ty\n", "é ü"] + [t for _, t in made(1, 30)]
+    w = _text.Words(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert [w.data[s:e].tobytes().decode() for s, e in zip(w.starts[w.rows[k] : w.rows[k + 1]], w.ends[w.rows[k] : w.rows[k + 1]], strict=True)] == WORD.findall(t or "")
+    assert np.array_equal(w.hashes(8), w.hashes())
+    sliced = pa.array(["skip", *texts]).slice(1)
+    assert np.array_equal(_text.Words(sliced).hashes(), w.hashes())
+
+
+# --- 2, 10: tokens --------------------------------------------------------------------------------
+
+ALPHABET = "abcXYZ 'stremvld'''!?.,<|>0129éÉßÄöñİıſḰΣςΑ你好   \n\t\x1c\x1f\x85\x00½²ª�😀"
+
+
+def test_encoder_equals_the_library(path):
+    r = random.Random(3)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    texts += ["don't I'll 's" + "".join(r.choice("abc' re ve ll's 't'm'd!12") for _ in range(30)) for _ in range(800)]
+    texts += ["", None, "<|endoftext|>a", "x<|startoftext|>", "a" * 1000, "ab" * 300 + " c", "'S'T"]
+    v = bpe.vocabulary(path)
+    ids, rows = bpe.Encoder(v, None)(texts)
+    for k, t in enumerate(texts):
+        want = v.library.encode(t or "", add_special_tokens=False).ids
+        assert ids[rows[k] : rows[k + 1]].tolist() == want, t
+        assert bpe.Encoder(v, None).decode(ids[rows[k] : rows[k + 1]]).decode() == v.library.decode(want, skip_special_tokens=False)
+
+
+def test_transducer_accepts_its_words_alone(tmp_path, path):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))).encode() for _ in range(300)})
+    t = bpe.Transducer.compile(words)
+    asked = words + [w + b"z" for w in words[:20]] + [b"d", b"aaaaaaa"]
+    data = np.frombuffer(b"".join(asked), np.uint8)
+    found = t.find(data, np.concatenate([[0], np.cumsum([len(w) for w in asked])]))
+    assert found.tolist() == [words.index(w) if w in set(words) else -1 for w in asked]
+    assert len(t.final) < sum(map(len, words)) / 3  # suffixes are shared
+    bpe.Lexicon.save(str(tmp_path / "x"), words, bpe.vocabulary(path))
+    texts = [" ".join(w.decode() for w in r.choices(words, k=30)) + " unseen" for _ in range(20)]
+    with_, without = bpe.Encoder(bpe.vocabulary(path), bpe.Lexicon.load(str(tmp_path / "x"))), bpe.Encoder(bpe.vocabulary(path), None)
+    assert np.array_equal(with_(texts)[0], without(texts)[0])
+
+
+def test_round_trip_and_files(spark, path, tmp_path):
+    lib = bpe.vocabulary(path).library
+    for docs in (edges(spark), empty(spark)):
+        got = Counter(map(tuple, bpe.round_trip(docs, path, bpe.build_lexicon(docs, path)).collect()))
+        want = Counter()
+        rows = docs.select("doc_id", "text").collect()
+        for i, t in rows:
+            ids = lib.encode(t or "", add_special_tokens=False).ids
+            want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+        assert got == want
+        for kind in ("delta", "dictionary"):
+            out = f"file://{tmp_path}/{kind}{len(rows)}"
+            tokens.write_tokens(docs, out, path, 2, encoding=kind)
+            ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+            start, expect = 0, []
+            for i, t in ordered:
+                ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+                expect.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+                start += len(ids)
+            found = sorted(map(tuple, tokens.digests(tokens.read_tokens(spark, out)).collect()), key=lambda r: r[1])
+            assert found == expect
+            assert sorted((r.start, r.n_tokens) for r in tokens.read_index(spark, out).collect()) == [(e[1], e[2]) for e in expect]
+
+
+def test_files_have_page_indexes(spark, path, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    tokens.write_tokens(spark.createDataFrame(made(2, 50), "doc_id long, text string"), f"file://{tmp_path}/t", path, 2)
+    f = pq.ParquetFile(sorted(glob.glob(f"{tmp_path}/t/part*"))[0])
+    column = f.metadata.row_group(0).column(f.metadata.num_columns - 1)
+    assert column.has_offset_index and "DELTA_BINARY_PACKED" in column.encodings
+
+
+# --- 3: substrings --------------------------------------------------------------------------------
+
+
+def removed(rows, size=20):
+    """Brute force over distinct (key, text), in order of key; equal keys must have one text."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            q = tuple(w[k : k + size])
+            if q in seen:
+                gone[k : k + size] = [True] * size
+            seen.add(q)
+        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 9, 8 << 20])
+@pytest.mark.parametrize("words", [2, 400])
+def test_substrings(spark, monkeypatch, chunk, words):
+    rows = made(9, 120, words)
+    random.Random(2).shuffle(rows)
+    buckets, packed = 7, []
+    for b in _text.chunks([pa.record_batch([pa.array([r[0] for r in rows]), pa.array([hash(r[1]) for r in rows]), pa.array([r[1] for r in rows])], ["k", "h", "text"])], "text", chunk):
+        packed += substrings._pack(b, 20, buckets)
+    table = pa.Table.from_batches(packed).sort_by("bucket").combine_chunks()
+    found = defaultdict(list)
+    for b in substrings._settle(20)(table.to_batches()):
+        for k, s, e in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            found[k] += list(zip(s, e, strict=True))
+    want = removed(rows)
+    for i, t in rows:
+        cover = set()
+        for s, e in found[i]:
+            cover |= set(range(s, e))
+        assert len(cover) == want[i][1], t
+    del spark, monkeypatch
+
+
+def test_substrings_on_spark(spark):
+    rows = made(11, 80)
+    got = {r[0]: tuple(r[1:]) for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == removed(rows)
+    assert substrings.remove_repeats(empty(spark)).isEmpty()
+    out = substrings.remove_repeats(edges(spark)).collect()
+    assert len(out) == 12
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in out if r.doc_id in (2, 3, 4)} == {(2, 0, 0, ""), (3, 0, 0, ""), (4, 0, 0, "")}
+    assert {r.n_removed for r in out if r.doc_id == 8} == {100} and {r.n_removed for r in out if r.doc_id == 7} == {99 + 0 * 1} | {100} & {r.n_removed for r in out if r.doc_id == 7}
+    assert {r.n_removed for r in out if r.doc_id == 5} == {55_000}
+
+
+# --- 1: near duplicates ---------------------------------------------------------------------------
+
+
+def linked(rows):
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(bool(w), len(w) - 4))) for i, t in rows for w in [WORD.findall(t or "")]}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates(spark):
+    rows = [r for r in made(21, 150) if r[1]]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked(rows)
+    sure = [i for i, t in rows]
+    assert sum(got[i] == want[i] for i in sure) >= 0.98 * len(sure)
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for c in got.values()})
+
+
+def test_a_large_family_of_near_copies_is_one_class(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(200)] = f"n{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"u{r.randrange(10**6)}" for _ in range(100))) for k in range(50)]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k] == 0 for k in range(400)) >= 398 and all(got[k] == k for k in got if k >= 1000)
+
+
+def test_near_duplicates_of_edges(spark):
+    got = Counter((r.doc_id, r.class_id) for r in neardup.classes(edges(spark)).collect())
+    assert got == Counter({(1, 1): 3, (None, 1): 1, (None, 2): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (7, 7): 1, (8, 7): 1})
+    left = neardup.drop_near_duplicates(edges(spark))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 1, 2, 4, 5, 6, 7] and left.columns == edges(spark).columns
+    assert neardup.classes(empty(spark)).isEmpty() and neardup.drop_near_duplicates(empty(spark)).isEmpty()
+    alone = spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string")
+    assert neardup.drop_near_duplicates(alone).count() == 1
+
+
+# --- 7: decontamination ---------------------------------------------------------------------------
+
+
+def test_overlaps(spark):
+    r = random.Random(5)
+    items = [(k, " ".join(f"t{r.randrange(500)}" for _ in range(r.randint(15, 50)))) for k in range(20)] + [(90, "too short"), (91, None)]
+    rows = []
+    for k in range(60):
+        w = [f"d{r.randrange(5000)}" for _ in range(100)]
+        if k < 40:
+            passage = items[k % 20][1].split()
+            if k >= 20:
+                for at in range(6, len(passage), 9):
+                    passage[at] = "swapped"
+            w[50:50] = [p.upper() + "," for p in passage]
+        rows.append((k, " ".join(w)))
+    docs, test = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(x.doc_id, x.item_id): (x.n_agree, x.n_item_tokens, x.start) for x in decontaminate.overlaps(docs, test, broadcast_seeds=most).collect()}
+        assert set(got) == {(k, k % 20) for k in range(40)}
+        assert all(v[2] == 50 and (v[0] == v[1]) == (k[0] < 20) for k, v in got.items())
+    assert sorted(x.doc_id for x in decontaminate.remove_contaminated(docs, test).collect()) == list(range(40, 60))
+    odd = edges(spark)
+    assert decontaminate.remove_contaminated(odd, test).count() == odd.count()
+    assert decontaminate.overlaps(empty(spark), test).isEmpty() and decontaminate.overlaps(docs, test.limit(0)).isEmpty()
+    null = spark.createDataFrame([(None, items[0][1])], "doc_id long, text string")
+    assert [tuple(x)[:2] for x in decontaminate.overlaps(null, test).collect()] == [(None, 0)]
+
+
+def test_overlaps_run_without_python(spark):
+    docs, test = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    plan = decontaminate.overlaps(docs, test)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)
+
+
+# --- 6: rules -------------------------------------------------------------------------------------
+
+
+def counted(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    cover = [False] * len(w)
+    for k in range(len(w) - 4):
+        if c[tuple(w[k : k + 5])] > 1:
+            cover[k : k + 5] = [True] * 5
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(cover)
+
+
+def test_rules(spark):
+    r = random.Random(6)
+    odd = [(1000 + k, "".join(r.choice("ab é\n \t#|*") for _ in range(r.randint(0, 200)))) for k in range(150)]
+    docs = spark.createDataFrame(made(31, 60) + odd + [(5000, "SHOUT " * 3 + "A B C D E F G H I J K L M")], "doc_id long, text string")
+    texts = dict(docs.collect())
+    for x in rules.judge(docs).collect():
+        n = counted(texts[x.doc_id])
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == n, texts[x.doc_id]
+        assert x.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+        whole = rules.Texts(pa.array([texts[x.doc_id]]))
+        assert x.kept == (not any(rule.rejects(whole)[0] for rule in rules.RULES))
+    got = rules.judge(edges(spark)).collect()
+    assert len(got) == 12 and not any(x.kept for x in got if x.n_words < 10) and rules.judge(empty(spark)).isEmpty()
+
+
+def test_cascade_order_changes_no_verdict():
+    column = pa.array([t for _, t in made(32, 60)] + ["a | b | c | d # # # x y z w"])
+    want = rules.cascade(rules.Texts(column), list(rules.RULES)) >= 0
+    for seed in range(5):
+        order = random.Random(seed).sample(rules.RULES, len(rules.RULES))
+        assert np.array_equal(rules.cascade(rules.Texts(column), order) >= 0, want)
+
+
+# --- 9: archives ----------------------------------------------------------------------------------
+
+
+def archived(rows):
+    best = {}
+    for i, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
+    out = Counter()
+    for i, h in rows:
+        raw, top = (h or "").encode(), best[h or ""]
+        first = (-1 if i is None else i) == top
+        out[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else top] += 1
+    return out
+
+
+def test_archives(spark):
+    r = random.Random(7)
+    rows = [(k, r.choice(["<p>a</p>", "", None, "é\r\n\r\nWARC/1.0\r\n" * 3, "x" * 50_000, f"own {k}"])) for k in range(60)] + [(3, "again"), (3, "again"), (None, "z"), (None, "own 1")]
+    pages = spark.createDataFrame([(i, "http://a/ \n\x7f", h, 1) for i, h in rows], "page_id long, url string, html string, record_type int")
+    assert Counter(map(tuple, warc.round_trip(pages).collect())) == archived(rows)
+    assert warc.round_trip(pages.limit(0)).isEmpty()
+
+
+def test_large_records_and_members(spark, tmp_path):
+    rows = [(1, "y" * (17 << 20)), (2, "small"), (3, "y" * (17 << 20))]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_monolithic(pages, f"file://{tmp_path}/a")
+    warc.normalise(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    assert Counter(tuple(x)[:5] for x in warc.read_records(spark, f"file://{tmp_path}/b").collect()) == archived(rows)
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "b" / "kind=warc").glob("part*")))
+    assert whole.count(b"WARC/1.0\r\n") == 3
+
+
+def test_records_of_one_stream_or_many():
+    one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc"
+    for content in (gzip.compress((one + warc.END) * 5), b"".join(gzip.compress(one + warc.END) for _ in range(5))):
+        assert list(warc.split_records(content)) == [one] * 5
+    with pytest.raises(ValueError):
+        list(warc.split_records(gzip.compress(one[:-1])))
+
+
+# --- 4, 5: classifiers ----------------------------------------------------------------------------
+
+
+def scored(spark, module, label, mod, held):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = module.fit(docs, labels)
+    out = module.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(_labels.remainder(F.col("doc_id"), mod) == held)
+    return model, [tuple(r) for r in out.select(label, out.columns[2], out.columns[3]).collect()]
+
+
+def test_quality_held_out(spark):
+    _, rows = scored(spark, quality, "quality", 5, 0)
+    assert all(0 <= s <= 1 and p == (s >= 0.3) for _, s, p in rows)
+    assert sum(y == p for y, _, p in rows) >= 0.95 * len(rows)
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).withColumnRenamed("toxic", "told").join(labels, "doc_id").where(_labels.remainder(F.col("doc_id"), 3) == 1)
+    rows = [tuple(r) for r in out.select("toxic", "toxicity", "told").collect()]
+    assert all(0 <= s <= 1 and p == (s >= 0.7) for _, s, p in rows)
+    assert sum(y == p for y, _, p in rows) >= 0.95 * len(rows)
+
+
+def test_classifiers_on_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (5, 0, 1), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for module, new in ((quality, {"quality_score", "good"}), (toxicity, {"toxicity", "toxic"})):
+        for labels in (none, some):
+            for docs in (edges(spark), empty(spark)):
+                out = module.score(docs, module.fit(docs, labels))
+                assert out.count() == docs.count() and new <= set(out.columns)
+                assert all(0 <= r[0] <= 1 for r in out.select(min(new, key=lambda n: n in ("good", "toxic"))).collect())
+
+
+def test_grammar():
+    model = toxicity.Model({**{f"={w}": (k, 0.0) for k in (toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET) for w in toxicity.WORDS[k].split()}, "=idiot": (toxicity.INSULT, 6.0), "stupi": (toxicity.INSULT, 6.0)}, np.array([3.0, 3.0, 1.0, 0.0, 0.0, -2.0]))
+    texts = ["you idiot", "he is not an idiot", "she said idiot", "no. you idiot", "stupidity", "fine words", "", None, "idiotic"]
+    assert (model.score(texts) >= 0.7).tolist() == [True, False, False, True, True, False, False, False, False]
+    x = toxicity.features(["not a b c d idiot", "not a b idiot"], toxicity.Lexicon(model.entries))
+    assert x[:, 3].tolist() == [0, 6]
+
+
+def test_attention_gradient_learns_one_bad_passage():
+    r = random.Random(1)
+    good = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(n))
+    texts, labels = [], []
+    for k in range(120):
+        t = good(300)
+        if k % 2:
+            w = t.split()
+            w[100:164] = ["junk!!"] * 64
+            t = " ".join(w)
+        texts.append(t)
+        labels.append(1 - k % 2)
+    m = quality.Model.fit(pa.array(texts[:80]), np.array(labels[:80], float))
+    assert ((m.score(pa.array(texts[80:])) >= 0.5) == np.array(labels[80:], bool)).all()
+
+
+# --- 8: pages -------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>
+<nav class="menu"><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li><li><a href="/c">C</a></li></ul></nav><div class="cookie-notice">We use cookies. <button>OK</button></div>
+<article><h1>Head &amp; line</h1><p>First  paragraph of the
+main text, which has several words in it.<p>Second one with <b>bold</b> and <a href="/x">a link</a>, closing.<ul><li>item one</li><li>item two</li></ul></article>
+<div id="comments"><p>Nice post!</p><p>I agree with the writer here.</p></div><aside class="sidebar"><h3>More</h3><a href="/1">one</a></aside><form class="search"><label>Search</label><input></form><footer>&copy; site</footer></body></html>"""
+MAIN = "Head & line\nFirst paragraph of the main text, which has several words in it.\nSecond one with bold and a link, closing.\nitem one\nitem two"
+
+
+def test_pages(spark):
+    rows = [(1, PAGE), (1, PAGE), (None, None), (2, ""), (3, "<p"), (4, "plain"), (5, PAGE[: PAGE.index("<div id=")]), (6, "<div " + "a='" * 5000), (7, "<div>" * 5000)]
+    pages = spark.createDataFrame([(i, "u", h, 0) for i, h in rows], "page_id long, url string, html string, main_text int")
+    out = html.main_text(pages).collect()
+    assert len(out) == len(rows)
+    assert [r.main_text for r in out if r.page_id in (1, 5)] == [MAIN] * 3
+    assert [r.main_text for r in out if r.page_id in (None, 2)] == ["", ""]
+    assert all(r.main_chars == len(r.main_text) for r in out)
+    assert html.main_text(pages.limit(0)).isEmpty()
+
+
+def test_composed_pages_held_out():
+    composer, trees = html._Composer(99), html.fitted()
+    pages = [html._states(composer.page()) for _ in range(100)]
+    good = 0
+    for page, state in pages:
+        log_p = trees.log_odds(html.features(page))
+        got = html.decode(log_p, page.parent)
+        for k, p in enumerate(page.parent):  # no contradiction between parent and child
+            if p >= 0:
+                assert got[k] in html._BELOW[got[p]]
+        good += page.text(got) == page.text(state)
+    assert good >= 90
