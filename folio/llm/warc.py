@@ -204,9 +204,9 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", column:
     from folio.llm import _store
 
     spark = pages.sparkSession
+    if pages.isEmpty():
+        return spark.createDataFrame([], _RECORD).drop("url", "payload").withColumnRenamed("key", key)
     source, target = _store.shared_dir(spark, "warc-source"), _store.shared_dir(spark, "warc")
     write_monolithic(pages, source, key, url, column)
-    if not spark.read.format("binaryFile").load(source).select("path").head(1):
-        return spark.createDataFrame([], _RECORD).drop("url", "payload").withColumnRenamed("key", key)
     normalise(spark, source, target)
     return read_records(spark, target).drop("url", "payload").withColumnRenamed("key", key)
