@@ -216,9 +216,9 @@ def font_family(name: Column) -> Column:
 
 def safe_uri(address: Column) -> Column:
     """The address if it is safe to hand on, else null: http, https with a host or mailto, plain ASCII, whole escapes."""
-    plain = r"(?:[!#$&-;=?-\[\]_a-z~]|%[0-9A-Fa-f]{2})"
-    ok = address.rlike(rf"^(?i:https?)://(?![/?#@]){plain}+$") | address.rlike(rf"^(?i:mailto):{plain}+$")
-    return F.when(ok & (F.octet_length(address) <= 2048), address)
+    start = address.rlike("^(?i:https?)://[^/?#@]") | address.rlike("^(?i:mailto):.")
+    plain = ~address.rlike(r"[^!-~]|[\"<>\\^`{|}]") & ~address.rlike("%(?![0-9A-Fa-f]{2})")
+    return F.when(start & plain & (F.octet_length(address) <= 2048), address)
 
 
 def expand_template(template: Column, page: Column, pages: Column, date: Column, file: Column) -> Column:

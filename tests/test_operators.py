@@ -37,7 +37,7 @@ def test_edges_compare_with_the_last_kept(spark):
 def test_segments_compare_with_the_first_of_a_run(spark):
     s = [(0.0, 0.0, 5.0), (1.5, 4.0, 9.0), (3.0, 8.0, 12.0), (0.0, 20.0, 30.0)]
     row = spark.createDataFrame([(s,)], "v array<struct<at:double,start:double,stop:double>>").select(geometry.merge_segments(F.col("v")).alias("m")).first()
-    assert [tuple(x) for x in row.m] == [(0.0, 0.0, 5.0), (0.0, 20.0, 30.0), (1.5, 4.0, 12.0)]
+    assert [tuple(x) for x in row.m] == [(0.0, 0.0, 5.0), (0.0, 20.0, 30.0), (3.0, 8.0, 12.0)]
 
 
 def test_cells_are_half_open(spark):
