@@ -535,3 +535,39 @@ select doc_id, md5(string_agg(t, chr(12) order by pg)) digest from p group by do
 def text_export(spark, d):
     out = files.text_export(files.read(_documents_as_files(spark, d), "pages"))
     return out.select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+def _drawn_grid(spark, d) -> DataFrame:
+    """A grid for each nation: as many rows as its key mod 4 plus 2, three columns, the first two cells of the top row one."""
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("page"), (F.col("n_nationkey") % 4 + 2).alias("n"))
+    flat = n.select("page", F.explode(F.sequence(F.lit(0), "n")).alias("k")).select("page", F.lit(50.0).alias("l"), (F.col("k") * 20 + 100.0).alias("t"), F.lit(350.0).alias("r"), (F.col("k") * 20 + 100.0).alias("b"))
+    tall = n.select("page", "n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    top = F.when(F.col("k") == 1, 120.0).otherwise(100.0)
+    return flat.union(tall.select("page", F.col("k") * 100 + 50.0, top, F.col("k") * 100 + 50.0, F.col("n") * 20 + 100.0))
+
+
+@query("""select n_nationkey page, 0 grid_no, cast(n_nationkey % 4 + 2 as int) as rows, 3 cols, unnest(range(0, (n_nationkey % 4 + 2) * 3)) cell,
+cast(case when unnest(range(0, (n_nationkey % 4 + 2) * 3)) = 1 then 0 else unnest(range(0, (n_nationkey % 4 + 2) * 3)) end as int) as owner from nation""")
+def ruled_tables(spark, d):
+    from folio.operators import ruled
+
+    found = ruled.ruled_tables(_drawn_grid(spark, d), ["page"], 595.0, 842.0)
+    return found.select("page", "grid_no", "rows", "cols", F.posexplode("owner").alias("cell", "owner")).withColumn("cell", F.col("cell").cast("long"))
+
+
+@query(r"""select doc_id, md5(regexp_replace(text, 'and', '███', 'gi')) digest, cast(len(regexp_extract_all(lower(text), 'and')) as int) redacted from documents""")
+def redacted_words(spark, d):
+    from folio.operators import redact
+
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return redact.redact(docs, "text", ["AND"]).select("doc_id", F.md5("text").alias("digest"), "redacted")
+
+
+@query("""with l as (select doc_id, lang, unnest(string_split(text, chr(10))) line from documents), k as (select doc_id, lang, ceil(count(*) / 50.0) p from l where trim(line, ' ') <> '' group by 1, 2)
+select lang, cast(sum(p) as int) pages from k group by lang""")
+def merged_files(spark, d):
+    from folio.sources import rewrite
+
+    f = _documents_as_files(spark, d).withColumn("doc_id", F.col("path").cast("long")).join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    merged = rewrite.merge(f, "lang", F.col("doc_id")).withColumnRenamed("lang", "path")
+    return files.read(merged, "info").select(F.col("path").alias("lang"), "pages")

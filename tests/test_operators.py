@@ -99,3 +99,27 @@ def test_workbook(spark):
 def test_rules(spark):
     s = spark.createDataFrame([(0.0, 0.0, 0.2, 50.0, False), (0.0, 0.0, 50.0, 50.0, False), (0.0, 10.0, 80.0, 12.0, True), (0.0, 0.0, 9.0, 9.0, True)], "x0 double, y0 double, x1 double, y1 double, filled boolean")
     assert sorted((r.l, r.t, r.r, r.b) for r in geometry.rule_lines(s).collect()) == [(0.0, 11.0, 80.0, 11.0), (0.1, 0.0, 0.1, 50.0)]
+
+
+def test_redaction_fills_places_in_the_text_itself(spark):
+    from folio.operators import redact
+
+    rows = spark.createDataFrame([(1, "The quick\n  brown fox; 6222 0200 1234 5678 901."), (2, None), (3, "")], "id int, text string")
+    out = {r.id: (r.text, r.redacted) for r in redact.redact(rows, "text", ["QUICK brown"], ["bank-card"]).collect()}
+    assert out == {1: ("The " + "█" * 13 + " fox; " + "█" * 23 + ".", 2), 2: (None, 0), 3: ("", 0)}
+    assert [r.id for r in redact.residue(rows, "text", ["FOX", "x"]).collect()] == [1]
+    assert redact.spans("aaaa aa", ["aa", "aaa"], []) == [(0, 4), (5, 7)]
+
+
+def test_a_frame_round_the_page_is_no_table():
+    import numpy as np
+
+    from folio.operators import ruled
+
+    def grid(x0, x1, y0, y1, n):
+        xs, ys = np.linspace(x0, x1, n), np.linspace(y0, y1, n)
+        return np.array([[x0, y, x1, y] for y in ys] + [[x, y0, x, y1] for x in xs])
+
+    assert ruled.grids(grid(0, 100, 0, 100, 3), 100, 100) == []
+    two = ruled.grids(np.concatenate([grid(50, 90, 60, 90, 4), grid(0, 40, 5, 40, 3)]), 100, 100)
+    assert [len(g["xs"]) for g in two] == [3, 4] and two[0]["owner"].tolist() == [0, 1, 2, 3]
