@@ -123,3 +123,17 @@ def test_a_frame_round_the_page_is_no_table():
     assert ruled.grids(grid(0, 100, 0, 100, 3), 100, 100) == []
     two = ruled.grids(np.concatenate([grid(50, 90, 60, 90, 4), grid(0, 40, 5, 40, 3)]), 100, 100)
     assert [len(g["xs"]) for g in two] == [3, 4] and two[0]["owner"].tolist() == [0, 1, 2, 3]
+
+
+def test_word_files(spark):
+    import xml.dom.minidom
+
+    from folio.sources import word
+
+    rows = [("a", 0, "heading", "Title <1>", 1, None), ("a", 1, "para", "text & more", None, None), ("a", 2, "number", "one", None, None), ("a", 3, "number", "two", None, None), ("a", 4, "table", None, None, [["x", "y"], ["z"]]), ("a", 5, "bullet", "dot", None, None)]
+    out = word.documents(spark.createDataFrame(rows, "path string, block_no int, kind string, text string, level int, cells array<array<string>>")).first()
+    z = zipfile.ZipFile(io.BytesIO(out.content))
+    for name in z.namelist():
+        xml.dom.minidom.parseString(z.read(name))
+    body = z.read("word/document.xml").decode()
+    assert "Title &lt;1&gt;" in body and body.count("<w:tc>") == 4 and body.count('<w:numId w:val="2"/>') == 2
