@@ -69,9 +69,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column:
     # hits are written, so that the next join knows their size: few are broadcast, many are shuffled
     found = _store.written(found, "hits")
     met = train.alias("d").join(found.alias("f"), F.col("d.__key").eqNullSafe(F.col("f.__key")) & (F.col("d.__h") == F.col("f.__h")))
-    hits = met.select("f.__key", "f.__id", "f.__at", "d.__text").join(test, "__id").withColumn("__doc", tokens(F.col("__text")))
+    hits = met.select("f.__key", "f.__id", "f.__at", "d.__text").join(test, "__id")
     agree, measure = _agreement()
-    judged = hits.withColumn("__agree", agree).withColumn("__m", measure)
+    # each array is made once: a plain column would be put into the filter below, and worked out anew for every element there
+    hits = hits.select("__key", "__id", "__at", "__item", F.explode_outer(F.array(tokens(F.col("__text")))).alias("__doc"))
+    judged = hits.select("__key", "__id", "__at", "__item", F.explode_outer(F.array(agree)).alias("__agree"))
+    judged = judged.select("__key", "__id", "__at", "__item", F.explode_outer(F.array(measure)).alias("__m"))
     judged = judged.where(F.col("__m.best") * WINDOW >= F.col("__m.width") * AGREE)
     best = F.max(F.struct(F.col("__m.total").alias("n_agree"), F.size("__item").alias("n_item_tokens"), (-F.col("__at")).alias("back")))
     rows = judged.groupBy("__key", "__id").agg(best.alias("b"))
