@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _labels, _text
+from folio.llm import _labels, _store, _text
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8, 16
 #: Function words of the grammar.
@@ -353,4 +353,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "tex
             s = shared.value.score(b.column(at).to_pylist())
             yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "toxicity", "toxic"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
+    return _store.batched(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
