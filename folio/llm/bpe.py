@@ -423,7 +423,7 @@ def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """How often each piece stands in all texts: piece binary, n long; one row a piece."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _text.chunks(batches, column, 2 * _text.CHUNK):
+        for b in _text.chunks(batches, column):
             p = Pieces(b.column(0).to_pylist())
             code, first = p.distinct()
             if len(first):
@@ -432,7 +432,7 @@ def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
                 data, o = p.utf8(first[often])
                 yield pa.record_batch([_text.string_array(data, o).cast(pa.binary()), pa.array(n[often])], ["piece", "n"])
 
-    return docs.select(F.col(column)).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return _store.batched(docs.select(F.col(column))).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, column: str = "text", frequent: int = FREQUENT) -> str:
@@ -472,7 +472,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: str | None = None, column:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return _store.batched(docs).mapInArrow(run, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, lexicon: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -492,5 +492,5 @@ def round_trip(docs: DataFrame, vocab_path: str, lexicon: str | None = None, key
             d = [hashlib.sha256(enc.decode(ids[x:y])).hexdigest() for x, y in zip(r[:-1], r[1:], strict=True)]
             yield pa.record_batch([b.column(0), pa.array(np.diff(rows)), pa.array(a, pa.string()), pa.array(d, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(F.col(key).alias("key"), F.col(column)).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = _store.batched(docs.select(F.col(key).alias("key"), F.col(column))).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
