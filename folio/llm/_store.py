@@ -23,6 +23,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "8m"  # bytes of a batch between Spark and a worker
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, with batches to workers bounded in its session: texts of any length make the default of 10,000 rows unbounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

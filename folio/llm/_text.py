@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks, as pools of workers would not
 CHUNK = 1 << 21  # bytes of text handled at once (one longer text is handled alone)
 
 _rng = np.random.default_rng(20240229)
@@ -63,6 +64,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def _trim() -> None:
+    """Hand free memory back to the system: workers live on through many tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text."""
     for batch in batches:
@@ -75,6 +86,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -
             to = max(at + 1, int(np.searchsorted(o, o[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        _trim()
 
 
 class Words:

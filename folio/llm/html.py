@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _text
+from folio.llm import _store, _text
 
 OUTSIDE, MAIN, CLUTTER = range(3)
 PAGES, ROUNDS, DEPTH, RATE, BINS = 500, 24, 3, 0.3, 32
@@ -469,4 +469,4 @@ def main_text(pages: DataFrame, column: str = "html", trees: Trees | None = None
             yield pa.record_batch([*others, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*rest, "main_text", "main_chars"])
 
     kept = [f for f in pages.schema.fields if f.name != column]
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())]))
+    return _store.batched(pages).mapInArrow(run, T.StructType([*kept, T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())]))

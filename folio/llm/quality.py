@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _labels, _text
+from folio.llm import _labels, _store, _text
 
 PASSAGE = 64  # words
 HIDDEN, GATE = 16, 8
@@ -200,4 +200,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "tex
             s = shared.value.score(b.column(at))
             yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "quality_score", "good"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("good", T.IntegerType())]))
+    return _store.batched(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("good", T.IntegerType())]))

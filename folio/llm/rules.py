@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _text
+from folio.llm import _store, _text
 
 SAMPLE = 1000  # rows on which cost and selectivity are estimated
 #: Fixed values of the base rule.
@@ -232,5 +232,5 @@ def judge(docs: DataFrame, key: str = "doc_id", column: str = "text", rules: tup
             yield pa.record_batch([b.column(0), *map(pa.array, counts), pa.array(failed), pa.array(why < 0), rule], ["key", *COUNTS, "base_failed", "kept", "rule"])
 
     counted = ", ".join(f"{c} long" for c in COUNTS)
-    out = docs.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInArrow(run, f"key {kind}, {counted}, base_failed boolean, kept boolean, rule string")
+    out = _store.batched(docs.select(F.col(key).alias("key"), F.col(column).alias("text"))).mapInArrow(run, f"key {kind}, {counted}, base_failed boolean, kept boolean, rule string")
     return out.withColumnRenamed("key", key)

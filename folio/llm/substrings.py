@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import _text
+from folio.llm import _store, _text
 
 MER = 2
-CHUNK = 8 << 20  # bytes of text in which a map task settles repeats itself
+CHUNK = 4 << 20  # bytes of text in which a map task settles repeats itself
 FINE = 16  # buckets for each shuffle partition; one bucket at a time is in memory
 _ZSTD = pa.Codec("zstd", 5)
 NULL_ID = -(1 << 63)
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, size: int = 20, key: str = "doc_id", column:
         for b in _text.chunks(batches, "text", CHUNK):
             yield from _pack(b, size, buckets)
 
-    shipped = _keyed(docs, key, column).mapInArrow(pack, _SHIPPED)
+    shipped = _store.batched(_keyed(docs, key, column)).mapInArrow(pack, _SHIPPED)
     dealt = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_settle(size), _SHIPPED)
     return found.groupBy("k", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
@@ -244,14 +244,14 @@ def remove_repeats(docs: DataFrame, size: int = 20, key: str = "doc_id", column:
     names, at = docs.columns, docs.columns.index(column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _text.chunks(batches, column, CHUNK // 2):
+        for b in _text.chunks(batches, column, CHUNK):
             words = _text.Words(b.column(at))
             out, o, gone = _kept(words, b.column(len(names)), b.column(len(names) + 1))
             kept = pa.Array.from_buffers(pa.string(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
             yield pa.record_batch([*b.columns[: len(names)], pa.array(words.counts.astype(np.int64)), pa.array(gone.astype(np.int64)), kept], [*names, "n_words", "n_removed", "kept"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return both.mapInArrow(run, schema)
+    return _store.batched(both).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:

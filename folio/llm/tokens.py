@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm import _text, bpe
+from folio.llm import _store, _text, bpe
 
 ROW_GROUP = 32 << 20  # bytes
 PAGE = 256 << 10
@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, lexic
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(key).alias("key"), F.col(column).alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    rows = ordered.mapInArrow(run, f"part int, key {kind}, local_start long, n_tokens long, ids array<int>").withColumnRenamed("key", key)
+    rows = _store.batched(ordered).mapInArrow(run, f"part int, key {kind}, local_start long, n_tokens long, ids array<int>").withColumnRenamed("key", key)
     (
         rows.write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")

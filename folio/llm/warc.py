@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import _store
+
 ARCHIVE = 64 << 20  # bytes of payload a file, about
 END = b"\r\n\r\n"
 HEAD = 1 << 16  # bytes within which a record's own header ends
@@ -47,8 +49,6 @@ def described(pages: DataFrame, key: str = "page_id", column: str = "html") -> D
 
 def write_monolithic(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", column: str = "html") -> None:
     """A WARC record for every row, many records in one gzip stream a file. Other columns are not written."""
-    from folio.llm import _store
-
     what = _store.written(described(pages, key, column), "described")
     total = what.agg(F.sum("payload_bytes")).first()[0] or 0
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE))
@@ -185,7 +185,7 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.join(indexes, "part").select("archive", "index").mapInArrow(run, _RECORD)
+    return _store.batched(archives.join(indexes, "part").select("archive", "index")).mapInArrow(run, _RECORD)
 
 
 _RECORD = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -201,8 +201,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", column:
 
     An empty table gives an empty result; repeated rows give repeated records.
     """
-    from folio.llm import _store
-
     spark = pages.sparkSession
     if pages.isEmpty():
         return spark.createDataFrame([], _RECORD).drop("url", "payload").withColumnRenamed("key", key)
