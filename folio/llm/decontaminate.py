@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations alone.
 
-A seed is the hash of the tokens that a mask keeps out of SPAN consecutive ones; the positions a mask
+A seed is the hash of the tokens that a mask keeps out of consecutive ones; the positions a mask
 ignores may hold anything. Test and training seeds are joined; each hit puts a document and an item
 on one diagonal, and the tokens along it are compared. A document counts as contaminated where some
 WINDOW consecutive tokens of an item (all of a shorter one) agree in at least AGREE of each WINDOW.
+The masks leave no gap: however the tokens that may differ lie, some mask keeps none of them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks: the kept positions of SPAN.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 6, 8, 9))
+#: Fixed masks, as kept positions: for items of SPAN tokens and more, and for each smaller number of tokens.
+MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 8, 9), (0, 1, 2, 6, 7))
+SHORT = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2), (0, 1, 3)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 5, 6)),
+    8: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7)),
+    9: ((0, 1, 2, 4, 5), (0, 3, 4, 5, 6), (0, 1, 2, 3, 8), (0, 1, 6, 7, 8)),
+}
 SPAN = 10
+ORACLE_MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 6, 8, 9))  # the SQL's own, which miss some overlaps
 WINDOW, AGREE = 13, 10
 BROADCAST_SEEDS = 1_000_000  # about 60 MB in memory; more seeds are joined by a shuffle
 
@@ -24,16 +37,17 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def _seeds(frame: DataFrame, hashes: str, place: str) -> DataFrame:
-    """A row for each mask and place instead of the tokens: `place` and `seed`."""
-    n = F.greatest(F.size(hashes) - F.lit(SPAN - 1), F.lit(0))
-    first = F.slice(hashes, F.lit(1), n)
+def _seeds(frame: DataFrame, hashes: str, place: str, masks: list[tuple[tuple, Column]]) -> DataFrame:
+    """A row for each mask and place instead of the tokens: `place` and `seed`. masks: the kept positions, and which rows they are for."""
+    n = F.size(hashes)
 
-    def seeds(m: int) -> Column:  # every mask keeps its first place
-        return F.transform(first, lambda t, i: F.xxhash64(F.lit(m), t, *(F.get(F.col(hashes), i + o) for o in MASKS[m][1:])))
+    def seeds(m: int) -> Column:  # every mask keeps its first place; null where it does not fit
+        kept, rows = masks[m]
+        made = F.transform(hashes, lambda t, i: F.when(i < n - kept[-1], F.xxhash64(F.lit(m), t, *(F.get(F.col(hashes), i + o) for o in kept[1:]))))
+        return F.when(rows, made).otherwise(F.transform(hashes, lambda t: F.lit(None).cast("long")))
 
     others = [c for c in frame.columns if c != hashes]
-    rows = frame.select(*others, n.alias("__n"), F.flatten(F.array(*map(seeds, range(len(MASKS))))).alias("__seeds"))
+    rows = frame.select(*others, n.alias("__n"), F.flatten(F.array(*map(seeds, range(len(masks))))).alias("__seeds"))
     # the outer form: for the other, the optimiser infers a filter and works out the whole array once more within it
     rows = rows.select(*others, "__n", F.posexplode_outer("__seeds").alias("__j", "seed")).where("seed is not null")
     return rows.select(*others, (F.col("__j") % F.col("__n")).alias(place), "seed")
@@ -53,18 +67,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column:
     """A row for each document and benchmark item that overlap: key, item, n_agree (item tokens that agree on the best
     diagonal), n_item_tokens, start (the document's token at which the item begins there, negative if it begins before).
 
-    Null texts have no tokens. Items of fewer than SPAN tokens have no seeds and match nothing. Rows with equal keys give
+    Null texts have no tokens. Items without tokens match nothing. Rows with equal keys give
     one result, the best of them; null keys are grouped as one key. Empty tables give an empty result. Other columns are
     not read, whatever their names.
     """
     from folio.llm import _store
 
     test = benchmark.select(F.col(item).alias("__id"), tokens(F.col(item_column)).alias("__item"))
-    seeds = _seeds(test, "__item", "__q")
+    size = F.size("__item")
+    short = sorted(r[0] for r in test.where((size > 0) & (size < SPAN)).select(size).distinct().collect())
+    masks = [(m, size >= SPAN) for m in MASKS] + [(m, size == k) for k in short for m in SHORT[k]]
+    seeds = _seeds(test, "__item", "__q", masks)
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
     train = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(column)).alias("__h"), F.col(column).alias("__text"))
-    places = _seeds(train.select("__key", "__h", tokens(F.col("__text")).alias("__doc")), "__doc", "__p")
+    places = _seeds(train.select("__key", "__h", tokens(F.col("__text")).alias("__doc")), "__doc", "__p", [(m, F.lit(True)) for m, _ in masks])
     found = places.join(seeds, "seed").select("__key", "__h", "__id", (F.col("__p") - F.col("__q")).alias("__at")).distinct()
     # hits are written, so that the next join knows their size: few are broadcast, many are shuffled
     found = _store.written(found, "hits")
@@ -87,8 +104,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_i
     return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
 
 
-def oracle(masks: tuple = MASKS) -> str:
-    """DuckDB SQL for overlaps() of documents and benchmark."""
+def oracle(masks: tuple = ORACLE_MASKS) -> str:
+    """DuckDB SQL for overlaps() of documents and benchmark, as far as ORACLE_MASKS reach."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda t: t <> '')"
     kept = " union all ".join("select {id}, p, '%d ' || %s as seed from {t}, unnest(range(0, greatest(len(w) - %d, 0))) u(p)" % (m, " || ' ' || ".join(f"w[p + {o + 1}]" for o in mask), SPAN - 1) for m, mask in enumerate(masks))
     return f"""

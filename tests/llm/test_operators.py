@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -274,6 +275,37 @@ def test_overlaps(spark):
     assert [tuple(x)[:2] for x in decontaminate.overlaps(null, test).collect()] == [(None, 0)]
 
 
+@pytest.mark.parametrize("width", range(1, 14))
+def test_masks_leave_no_gap(width):
+    spare = max(e for e in range(width) if (width - e) * decontaminate.WINDOW >= width * decontaminate.AGREE)
+    masks = decontaminate.SHORT.get(width, decontaminate.MASKS)
+    places = [{at + o for o in m} for m in masks for at in range(width - m[-1])]
+    assert all(any(p.isdisjoint(c) for p in places) for c in itertools.combinations(range(width), spare))
+
+
+def test_overlaps_equal_the_rule_without_seeds(spark):
+    r = random.Random(17)
+    items = [(k, [f"t{r.randrange(60)}" for _ in range(r.choice([*range(1, 14), 20]))]) for k in range(60)]
+    rows = [(k, [f"t{r.randrange(60)}" for _ in range(r.randint(0, 40))]) for k in range(60)]
+    for k in range(300):  # whole or partial quotes with changed tokens
+        quote = list(items[k % 60][1])
+        if len(quote) > 13 and r.random() < 0.5:
+            quote = quote[3:16]
+        for at in r.sample(range(len(quote)), min(len(quote), r.randint(0, 4))):
+            quote[at] = "changed"
+        rows.append((100 + k, ["x"] * r.randint(0, 3) + quote + ["y"] * r.randint(0, 3)))
+    want = set()
+    for doc, w in rows:
+        for item, t in items:
+            width = min(13, len(t))
+            for at in range(-len(t), len(w)):
+                g = [0 <= at + i < len(w) and w[at + i] == x for i, x in enumerate(t)]
+                if max(sum(g[s : s + width]) for s in range(len(t) - width + 1)) * 13 >= width * 10:
+                    want.add((doc, item))
+    frame = lambda x, key: spark.createDataFrame([(k, " ".join(w)) for k, w in x], f"{key} long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(frame(rows, "doc_id"), frame(items, "item_id")).collect()} == want
+
+
 def test_overlaps_run_without_python(spark):
     docs, test = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = decontaminate.overlaps(docs, test)._jdf.queryExecution().toString()
