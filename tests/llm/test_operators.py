@@ -236,6 +236,17 @@ def test_a_large_family_of_near_copies_is_one_class(spark):
     assert sum(got[k] == 0 for k in range(400)) >= 398 and all(got[k] == k for k in got if k >= 1000)
 
 
+def test_pairs_within_a_hot_set_are_linked(spark):
+    r = random.Random(81)
+    say = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    passage, rows = say(204), []  # texts alike at 0.70 by it, pairs at 0.81
+    for k in range(1500):
+        both = say(18)
+        rows += [(2 * k, " ".join(passage + both + say(25))), (2 * k + 1, " ".join(passage + both + say(25)))] if k < 500 else [(2 * k, " ".join(passage + say(43)))]
+    got = dict(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {k: k - k % 2 if k < 1000 else k for k, _ in rows}
+
+
 def test_near_duplicates_of_edges(spark):
     got = Counter((r.doc_id, r.class_id) for r in neardup.classes(edges(spark)).collect())
     assert got == Counter({(1, 1): 3, (None, 1): 1, (None, 2): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (7, 7): 1, (8, 7): 1})
