@@ -472,7 +472,23 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: str | None = None, column:
 
     from pyspark.sql import types as T
 
-    return _store.batched(docs).mapInArrow(run, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return _store.batched(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def decode(rows: DataFrame, vocab_path: str, column: str = "ids") -> DataFrame:
+    """rows with `decoded`, the text of the tokens in `column` (null and empty lists: the empty text); an input column `decoded` is replaced."""
+    rows = rows.drop("decoded")
+    names = rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(vocab_path, None)
+        for b in batches:
+            texts = [enc.decode(np.asarray(ids or [], np.int32)).decode() for ids in b.column(names.index(column)).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+
+    from pyspark.sql import types as T
+
+    return _store.batched(rows).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, lexicon: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:

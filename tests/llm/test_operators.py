@@ -129,6 +129,17 @@ def test_round_trip_and_files(spark, path, tmp_path):
             assert sorted((r.start, r.n_tokens) for r in tokens.read_index(spark, out).collect()) == [(e[1], e[2]) for e in expect]
 
 
+def test_ids_and_texts_are_returned(spark, path):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = [t for _, t in made(9, 20)] + ["", None, "naïve 漢字\n\tx  y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in bpe.decode(bpe.encode(docs, path), path).collect():
+        want = library.encode(x.text or "", add_special_tokens=False).ids
+        assert list(x.ids) == want and x.decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_files_have_page_indexes(spark, path, tmp_path):
     import glob
 
