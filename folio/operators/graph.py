@@ -23,14 +23,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """node of every node that a path leads to from a root, roots included. edges: src, dst; roots: node."""
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """node of every node that a path leads to from a root, roots included. edges: src, dst; roots: node. depth: at most so
+    many steps; without it the walk ends where nothing new is found."""
     known = frontier = settled(roots.select("node").distinct(), "reach")
-    for _ in range(depth):
+    steps = 0
+    while depth is None or steps < depth:
+        steps += 1
         frontier = settled(edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             break
         known = known.union(frontier)
+        if steps % 32 == 0:  # one folder again, lest the plan grow with the way
+            known = settled(known, "reach")
     return known
 
 

@@ -75,6 +75,11 @@ def test_reachability_ends_on_cycles(spark):
     assert sorted(r.node for r in graph.reachable(edges, spark.createDataFrame([("a",)], "node string")).collect()) == ["a", "b"]
 
 
+def test_reachability_of_a_long_chain(spark):
+    edges = spark.range(300).selectExpr("id as src", "id + 1 as dst").coalesce(1)
+    assert graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 301
+
+
 def test_bookmarks_never_jump(spark):
     heads = spark.createDataFrame([(0, k, level, f"t{k}") for k, level in enumerate((3, 1, 3, 3, 2, 4))], "file int, seq0 int, level int, text string")
     assert [r.depth for r in structure.bookmarks(heads, "file", "seq0").orderBy("seq").collect()] == [0, 0, 1, 2, 1]
