@@ -1,10 +1,14 @@
-"""Where operators put what executors must share: the session's checkpoint folder."""
+"""Where operators put what executors must share: the session's checkpoint folder; and how rows meet a table that hot keys would skew."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCH = "8m"  # bytes of a batch between Spark and a worker
+PART = 128 << 20  # bytes of text a task of a shuffle is meant to get
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -16,14 +20,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there."""
+    """df, written to the shared folder and read again: its lineage ends there. forget() removes it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-BATCH = "8m"  # bytes of a batch between Spark and a worker
+def forget(*frames: DataFrame) -> None:
+    """Remove what written() wrote: for frames that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df._written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def batched(df: DataFrame) -> DataFrame:
@@ -32,7 +47,24 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_for(docs: DataFrame, column: str, size: int = PART) -> int:
+    """How many shuffle partitions the texts of docs need, by their bytes; the session's own number at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), -(-total // size))
+
+
+def matched(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a value of `on` and says in n how many of rows (`total` at most) have it.
+
+    Values that hold more than one in 2 * (shuffle partitions) of all rows are joined by broadcast, and there are at most
+    that many of them; the others by a shuffle, in which none fills a task. Column n is left out.
+    """
+    bound = max(total // (2 * shuffle_parts(rows.sparkSession)), 1)
+    hot = F.broadcast(table.where(F.col("n") > bound).drop("n"))
+    by_broadcast = rows.join(hot, on)
+    others = rows.join(hot.select(on), on, "left_anti")
+    return by_broadcast.unionByName(others.join(table.where(F.col("n") <= bound).drop("n"), on))

@@ -20,6 +20,7 @@ from folio.llm import _labels, _store, _text
 PASSAGE = 64  # words
 HIDDEN, GATE = 16, 8
 FIT_ROWS = 2000  # labelled rows that the model is fitted on, at most
+BLOCK = 1 << 15  # passages in memory as wide numbers while fitting
 NAMES = (
     "upper", "digits", "exclaim", "bars", "hashes", "other_signs", "commas", "stops", "lines", "non_ascii",
     "word_length", "long_words", "short_words", "same_as_last", "distinct", "seen_before", "bigrams_seen", "odd_endings", "one_sign_words", "words",
@@ -145,42 +146,71 @@ class Model:
         return self.forward((x - self.mean) / self.scale, owner, len(column))["y"]
 
     @classmethod
-    def fit(cls, column: pa.Array, labels: np.ndarray, rounds: int = 200, rate: float = 0.03, decay: float = 1e-4) -> Model:
-        """Adam over all documents at once; deterministic."""
-        x, owner = passages(column)
+    def fit(cls, column: pa.Array, labels: np.ndarray, **options) -> Model:
+        return cls.learn(*passages(column), labels, **options)
+
+    @classmethod
+    def learn(cls, x: np.ndarray, owner: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float = 0.03, decay: float = 1e-4) -> Model:
+        """Adam over all documents at once, a block of whole documents at a time; deterministic. owner: the document of each passage."""
         n = len(labels)
-        model = cls(cls.start(), x.mean(0) if len(x) else np.zeros(len(NAMES)), x.std(0) + 1e-3 if len(x) else np.ones(len(NAMES)))
+        model = cls(cls.start(), x.mean(0, dtype=float) if len(x) else np.zeros(len(NAMES)), x.std(0, dtype=float) + 1e-3 if len(x) else np.ones(len(NAMES)))
         share = labels.mean() if n else 1.0
         if not n or share in (0.0, 1.0):
             model.p = {k: v * 0 for k, v in model.p.items()} | {"c": np.array([2.0 if share else -2.0])}
             return model
-        x = (x - model.mean) / model.scale
+        rows = np.searchsorted(owner, np.arange(n + 1))
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(rows, rows[cuts[-1]] + BLOCK, "right")) - 1))
         m = {k: np.zeros_like(v) for k, v in model.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in model.p.items()}
         for step in range(1, rounds + 1):
-            f, p = model.forward(x, owner, n), model.p
-            dy = (f["y"] - labels) / n
-            dz = dy[:, None] * p["o"]
-            dh = f["a"][:, None] * dz[owner]
-            da = (f["h"] * dz[owner]).sum(1)
-            de = f["a"] * (da - np.bincount(owner, f["a"] * da, n)[owner])
-            dt = de[:, None] * p["g"] * f["s"] * (1 - f["t"] ** 2)
-            ds = de[:, None] * p["g"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = dh + dt @ p["V"].T + ds @ p["U"].T
-            dx = dh * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dx, "b": dx.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "g": (f["t"] * f["s"]).T @ de, "o": f["z"].T @ dy, "c": np.array([dy.sum()])}
+            p = model.p
+            grad = {k: decay * w * (k != "c") for k, w in p.items()}
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = slice(rows[a], rows[b])
+                for k, g in model._gradient((x[part] - model.mean) / model.scale, owner[part] - a, labels[a:b], n).items():
+                    grad[k] = grad[k] + g
             for k, g in grad.items():
-                g = g + decay * p[k] * (k != "c")
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v2[k] = 0.999 * v2[k] + 0.001 * g * g
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
         return model
 
+    def _gradient(self, x: np.ndarray, owner: np.ndarray, labels: np.ndarray, total: int) -> dict[str, np.ndarray]:
+        """Of the log loss over these documents, as their part of the mean over `total`."""
+        n, p = len(labels), self.p
+        f = self.forward(x, owner, n)
+        dy = (f["y"] - labels) / total
+        dz = dy[:, None] * p["o"]
+        da = (f["h"] * dz[owner]).sum(1)
+        de = f["a"] * (da - np.bincount(owner, f["a"] * da, n)[owner])
+        dt = de[:, None] * p["g"] * f["s"] * (1 - f["t"] ** 2)
+        ds = de[:, None] * p["g"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = f["a"][:, None] * dz[owner] + dt @ p["V"].T + ds @ p["U"].T
+        dx = dh * (1 - f["h"] ** 2)
+        return {"W": x.T @ dx, "b": dx.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "g": (f["t"] * f["s"]).T @ de, "o": f["z"].T @ dy, "c": np.array([dy.sum()])}
+
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality") -> Model:
-    """The model from up to FIT_ROWS labelled rows, none of them held out (crc32 of the key mod 5 is 0)."""
+    """The model from up to FIT_ROWS labelled rows, none of them held out (crc32 of the key mod 5 is 0).
+
+    Whole texts, however long: workers turn them into passages, and the driver gets a passage as 20 short numbers.
+    """
     rows = _labels.sample(docs, labels, label, _labels.remainder(F.col(key), 5) != 0, key, column, FIT_ROWS)
-    return Model.fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(float))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.chunks(batches, "text"):
+            x, owner = passages(b.column(1))
+            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).tolist()
+            raw = [x[s:e].astype("<f4").tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(raw, pa.binary())], ["place", "label", "passages"])
+
+    found = _store.batched(rows.select("place", "text", "label")).mapInArrow(run, "place int, label int, passages binary").toArrow().sort_by("place")
+    _store.forget(rows)
+    parts = [np.frombuffer(r.as_py(), "<f4").reshape(-1, len(NAMES)) for r in found.column("passages")]
+    x = np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
+    return Model.learn(x, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), found.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:

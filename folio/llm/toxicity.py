@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps words to classes (insult, threat, target, negation, reported speech) with
+A lexical transducer maps words to classes (insult, threat, target, naming, negation, reported speech) with
 weights; its insults are words and stems learned from labels. Over the classes of a clause runs the
-composition of five small transducers, each reading one class; its output tells for each insult or
-threat whether it is negated, reported, aimed at someone. Outputs summed over a document's matched
-clauses go through a fitted logistic scale. Isolated words score nothing: only matched clauses do.
+composition of six small transducers, each reading some classes. Their outputs tell of every insult and
+threat whether it is negated or reported; their states at the clause's end tell whether the clause is a
+pattern: an insult with a target, an insult that names somebody or something ("the", "is"), insults piled
+up, a threat with a target. The weights of a clause that is no pattern are lost, so that a word by itself
+scores nothing. Sums over a document's matched clauses go through a fitted logistic scale.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 
 from folio.llm import _labels, _store, _text
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8, 16
+INSULT, THREAT, TARGET, NEGATION, REPORT, NAMING = 1, 2, 4, 8, 16, 32
+CLASSES = 64  # sets of classes
 #: Function words of the grammar.
 WORDS = {
-    TARGET: "you your yours yourself he she him her they them their everyone du dich dir ihr euch dein deine er sie tu te toi vous il elle ils tú te ti usted ustedes él ella ellos",
+    TARGET: "you your yours yourself he she him his her they them their everyone du dich dir ihr euch dein deine er sie ihn ihm tu te toi vous votre il elle ils elles lui tú te ti usted ustedes él ella ellos ellas",
     NEGATION: "not no never none without nicht kein keine keinen nie niemals pas jamais aucun aucune sans no nunca ningún ninguna sin",
     REPORT: "said says say called calls wrote claimed reported quoted according sagte sagt nannte schrieb laut dit disait écrit selon dijo dice llamó escribió según",
     THREAT: "kill killing hurt murder strangle stab shoot töten umbringen schlagen tuer frapper matar golpear",
+    NAMING: "the this that these those a an such it who is are was were be been der die das den dem des ein eine einen dieser diese ist sind war le la les l un une des du ce cet cette ces est sont était el la los las un una unos esto este esta es son era",
 }
 FIT_ROWS = 3000  # labelled rows that the model is fitted on, at most
 REACH = 3  # words over which a negation holds
@@ -40,33 +44,38 @@ class Machine:
     """A deterministic transducer over class sets: step[state, symbol] and output[state, symbol] (a bit)."""
 
     def __init__(self, states: int, step, output):
-        symbols = range(32)
+        symbols = range(CLASSES)
         self.step = np.array([[step(s, x) for x in symbols] for s in range(states)], np.int32)
         self.output = np.array([[output(s, x) for x in symbols] for s in range(states)], np.int32)
 
 
-def compose(machines: list[Machine]) -> Machine:
-    """All machines reading the same symbols; outputs side by side, the first lowest."""
-    whole = Machine.__new__(Machine)
-    states = list(product(*(range(len(m.step)) for m in machines)))
-    place = {s: k for k, s in enumerate(states)}
-    whole.step = np.array([[place[tuple(int(m.step[q, x]) for m, q in zip(machines, s, strict=True))] for x in range(32)] for s in states], np.int32)
-    whole.output = np.array([[sum(int(m.output[q, x]) << k for k, (m, q) in enumerate(zip(machines, s, strict=True))) for x in range(32)] for s in states], np.int32)
-    return whole
+class Composed:
+    """Machines reading the same symbols; outputs side by side, the first lowest. parts[state]: the state of each machine."""
+
+    def __init__(self, machines: list[Machine]):
+        states = list(product(*(range(len(m.step)) for m in machines)))
+        place = {s: k for k, s in enumerate(states)}
+        self.step = np.array([[place[tuple(int(m.step[q, x]) for m, q in zip(machines, s, strict=True))] for x in range(CLASSES)] for s in states], np.int32)
+        self.output = np.array([[sum(int(m.output[q, x]) << k for k, (m, q) in enumerate(zip(machines, s, strict=True))) for x in range(CLASSES)] for s in states], np.int32)
+        self.parts = np.array(states)
 
 
 @lru_cache(1)
-def grammar() -> Machine:
-    """Outputs: 1 insult, 2 threat, 4 aimed at someone, 8 negated, 16 reported."""
-    return compose(
+def grammar() -> tuple[Composed, np.ndarray, np.ndarray]:
+    """The composition, and the states in which a clause's insults and threats count. Outputs: 1 insult, 2 threat, 4 negated, 8 reported."""
+    silent = lambda s, x: 0
+    whole = Composed(
         [
             Machine(1, lambda s, x: 0, lambda s, x: int(bool(x & INSULT))),
             Machine(1, lambda s, x: 0, lambda s, x: int(bool(x & THREAT))),
-            Machine(2, lambda s, x: int(s or bool(x & TARGET)), lambda s, x: int(s or bool(x & TARGET))),
             Machine(REACH + 1, lambda s, x: REACH if x & NEGATION else max(0, s - 1), lambda s, x: int(s > 0)),
             Machine(2, lambda s, x: int(s or bool(x & REPORT)), lambda s, x: int(s)),
+            Machine(3, lambda s, x: 2 if x & TARGET else max(s, int(bool(x & NAMING))), silent),
+            Machine(3, lambda s, x: min(2, s + bool(x & INSULT)), silent),
         ]
     )
+    aimed, piled = whole.parts[:, 4], whole.parts[:, 5]
+    return whole, (aimed > 0) | (piled > 1), aimed > 1
 
 
 @lru_cache(1)
@@ -105,6 +114,14 @@ class Tokens:
         self.clause = ended[self.starts] + self.row  # grows at each clause end and each text
         self.n = len(texts)
 
+    def words(self) -> list[list[str]]:
+        """The distinct words of each text, in order."""
+        chars = self.cps.tobytes().decode("utf-32-le", "surrogatepass")
+        found: list[set[str]] = [set() for _ in range(self.n)]
+        for r, s, e in zip(self.row.tolist(), self.starts.tolist(), self.ends.tolist(), strict=True):
+            found[r].add(chars[s:e])
+        return [sorted(f) for f in found]
+
     def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
         values = _SALT[(self.cps & 0xFFFF).astype(np.int64)] + (self.cps >> 16).astype(np.uint64)
         return _text.spans_hash(values, self.starts, self.ends if ends is None else ends)
@@ -159,11 +176,11 @@ class Lexicon:
         return kind, weight
 
 
-FEATURES = ("insult", "threat", "aimed", "negated", "reported")
+FEATURES = ("insult", "threat", "clauses", "negated", "reported")
 
 
 def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
-    """Per text: what its matched clauses output, insults by weight; clauses run through the grammar in step."""
+    """Per text: what its matched clauses output, insults by weight; all clauses run through the grammar in step."""
     import pandas as pd
 
     t = Tokens(texts)
@@ -184,8 +201,10 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     length = np.diff(np.append(heads, len(at)))
     gap = np.zeros(len(at), np.int64)  # words without a class since the last that has one
     gap[1:] = np.minimum(np.diff(at) - 1, REACH)
-    m = grammar()
+    m, insults, threats = grammar()
     state, live, step = np.zeros(len(heads), np.int64), np.arange(len(heads)), 0
+    held = np.zeros((len(heads), len(FEATURES)))  # what each clause has put out so far: plain insults and threats, calmed ones
+    calmed_threat = np.zeros((len(heads), 2))
     while len(live):
         e = heads[live] + step
         s = state[live]
@@ -195,16 +214,21 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
         symbol = kind[at[e]]
         output = m.output[s, symbol]
         state[live] = m.step[s, symbol]
-        hit = (output & 3) > 0
-        o, row, w = output[hit], t.row[at[e[hit]]], weight[at[e[hit]]]
-        calm = (o & 8) | (o & 16)
-        np.add.at(out, (row, 0), np.where((o & 1) > 0, w, 0) * (calm == 0))
-        np.add.at(out, (row, 1), ((o & 2) > 0) * (calm == 0) * 1.0)
-        np.add.at(out, (row, 2), ((o & 4) > 0) * (calm == 0) * 1.0)
-        np.add.at(out, (row, 3), np.where((o & 1) > 0, w, 1) * ((o & 8) > 0))
-        np.add.at(out, (row, 4), np.where((o & 1) > 0, w, 1) * ((o & 16) > 0))
+        w, plain = weight[at[e]], (output & 12) == 0
+        insult, threat, negated, reported = ((output & bit) > 0 for bit in (1, 2, 4, 8))
+        held[live, 0] += np.where(insult & plain, w, 0)
+        held[live, 1] += threat & plain
+        held[live, 3] += np.where(insult & negated, w, 0)
+        held[live, 4] += np.where(insult & reported, w, 0)
+        calmed_threat[live, 0] += threat & negated
+        calmed_threat[live, 1] += threat & reported
         step += 1
         live = live[length[live] > step]
+    held[:, [0, 3, 4]] *= insults[state][:, None]
+    held[:, 1] *= threats[state]
+    held[:, 3:] += calmed_threat * threats[state][:, None]
+    held[:, 2] = (held[:, 0] > 0) | (held[:, 1] > 0)
+    np.add.at(out, t.row[at[heads]], held)
     return out
 
 
@@ -218,9 +242,9 @@ def _g(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return 2 * (part(a, pos, a / max(pos, 1)) + part(b, neg, b / max(neg, 1)) - part(a, pos, common) - part(b, neg, common))
 
 
-def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, most: int = 512) -> dict[str, tuple[int, float]]:
-    """Words and stems that mark toxic texts: all whose likelihood ratio is beyond
-    chance, then the best for the toxic texts that these leave, and so on."""
+def learn_insults(words: pa.Array, labels: np.ndarray, least: float = 20.0, most: int = 512) -> dict[str, tuple[int, float]]:
+    """Words and stems that mark toxic texts: all whose likelihood ratio is beyond chance, then the best for the toxic texts
+    that these leave, and so on. words: the distinct words of each text."""
     pos, neg = int(labels.sum()), int((1 - labels).sum())
     if not pos or not neg:
         return {}
@@ -228,14 +252,8 @@ def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, mos
     def names_of(which: np.ndarray) -> Iterator[set[str]]:
         """The words and stems of each text, a few texts at a time."""
         for k in range(0, len(which), 64):
-            part = [texts[i] for i in which[k : k + 64]]
-            t = Tokens(part)
-            chars = t.cps.tobytes().decode("utf-32-le", "surrogatepass")
-            found: list[set[str]] = [set() for _ in part]
-            for r, s, e in zip(t.row.tolist(), t.starts.tolist(), t.ends.tolist(), strict=True):
-                found[r].add(chars[s:e])
-            for words in found:
-                yield {x for w in words for x in ("=" + w, *(w[:k] for k in range(LEAST_PREFIX, min(MOST_PREFIX, len(w) - 1) + 1)))}
+            for listed in words.take(pa.array(which[k : k + 64])).to_pylist():
+                yield {x for w in listed for x in ("=" + w, *(w[:k] for k in range(LEAST_PREFIX, min(MOST_PREFIX, len(w) - 1) + 1)))}
 
     few = max(LEAST_TEXTS, int(np.ceil(LEAST_SHARE * pos)))
     toxic = np.flatnonzero(labels == 1)
@@ -285,17 +303,33 @@ def learn_insults(texts: list[str], labels: np.ndarray, least: float = 20.0, mos
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> np.ndarray:
-    """Logistic weights (last: bias) by Newton's steps; the weights of outputs cannot fall below zero."""
+    """Logistic weights (last: bias) by Newton's steps, halved until they help; the weights of outputs cannot fall below zero."""
     z = np.column_stack([np.log1p(x), np.ones(len(x))])
+    penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-3)
+
+    def loss(w: np.ndarray) -> float:
+        v = z @ w
+        return float((np.logaddexp(0, v) - y * v).sum() + 0.5 * (penalty * w * w).sum())
+
     w = np.zeros(z.shape[1])
-    w[-1] = -2.0
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-3
+        slope = z.T @ (p - y) + penalty * w
+        free = (w > 0) | (slope < 0)  # a weight at its bound stays there while the slope holds it
+        free[-1] = True
         h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-        w = w - np.linalg.solve(h, z.T @ (p - y) + penalty * w)
-        w[:-1] = np.clip(w[:-1], 0, None)
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], slope[free])
+        for _ in range(30):
+            to = w - step
+            to[:-1] = np.clip(to[:-1], 0, None)
+            if loss(to) < now:
+                break
+            step /= 2
+        else:
+            break
+        w, now = to, loss(to)
     return w
 
 
@@ -303,22 +337,23 @@ class Model:
     def __init__(self, entries: dict[str, tuple[int, float]], scale: np.ndarray):
         self.entries, self.scale = entries, scale
 
-    @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray) -> Model:
+    @staticmethod
+    def entries_of(words: pa.Array, labels: np.ndarray) -> dict[str, tuple[int, float]]:
+        """The grammar's own words, and the insults that labels teach."""
         entries = {f"={w}": (0, 0.0) for kind in WORDS for w in WORDS[kind].split()}
         for kind, listed in WORDS.items():
             for w in listed.split():
                 entries[f"={w}"] = (entries[f"={w}"][0] | kind, 1.0 if kind == THREAT else 0.0)
-        for x, (kind, weight) in learn_insults(texts, labels).items():
+        for x, (kind, weight) in learn_insults(words, labels).items():
             old = entries.get(x, (0, 0.0))
             entries[x] = (old[0] | kind, max(old[1], weight))
+        return entries
+
+    @classmethod
+    def scaled(cls, entries: dict[str, tuple[int, float]], x: np.ndarray, labels: np.ndarray) -> Model:
         if labels.any() and not labels.all():
-            lexicon = Lexicon(entries)
-            x = np.concatenate([features(texts[k : k + 64], lexicon) for k in range(0, len(texts), 64)])
-            scale = fit_scale(x, labels)
-        else:  # no labels to learn from: one matched clause is toxic
-            scale = np.array([3.0, 3.0, 1.0, 0.0, 0.0, -2.0])
-        return cls(entries, scale)
+            return cls(entries, fit_scale(x, labels))
+        return cls(entries, np.array([3.0, 4.0, 1.0, 0.0, 0.0, -2.0]))  # no labels to learn from: one matched clause is toxic
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not hasattr(self, "lexicon"):
@@ -331,9 +366,30 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "toxic") -> Model:
-    """The model from up to FIT_ROWS labelled rows, none of them held out (crc32 of the key mod 3 is 1)."""
+    """The model from up to FIT_ROWS labelled rows, none of them held out (crc32 of the key mod 3 is 1).
+
+    Whole texts, however long: workers turn each into its distinct words, then into the outputs of its clauses.
+    """
     rows = _labels.sample(docs, labels, label, _labels.remainder(F.col(key), 3) != 1, key, column, FIT_ROWS)
-    return Model.fit(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(float))
+    plain = _store.batched(rows.select("place", "text", "label"))
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.chunks(batches, "text"):
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(Tokens(b.column(1).to_pylist()).words(), pa.list_(pa.string()))], ["place", "label", "words"])
+
+    found = plain.mapInArrow(named, "place int, label int, words array<string>").toArrow().sort_by("place").combine_chunks()
+    words = found.column("words").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.string()))
+    y = found.column("label").to_numpy().astype(float)
+    lexicon = Lexicon(entries := Model.entries_of(words, y))
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.chunks(batches, "text"):
+            x = features(b.column(1).to_pylist(), lexicon)
+            yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["place", "x"])
+
+    x = plain.mapInArrow(told, "place int, x array<double>").toArrow().sort_by("place").column("x").to_pylist()
+    _store.forget(rows)
+    return Model.scaled(entries, np.array(x).reshape(len(y), len(FEATURES)), y)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -453,13 +453,62 @@ def test_classifiers_on_edges(spark):
 
 
 def test_grammar():
-    model = toxicity.Model({**{f"={w}": (k, 0.0) for k in (toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET) for w in toxicity.WORDS[k].split()}, "=idiot": (toxicity.INSULT, 6.0), "stupi": (toxicity.INSULT, 6.0)}, np.array([3.0, 3.0, 1.0, 0.0, 0.0, -2.0]))
-    texts = ["you idiot", "he is not an idiot", "she said idiot", "no. you idiot", "stupidity", "fine words", "", None, "idiotic"]
-    assert (model.score(texts) >= 0.7).tolist() == [True, False, False, True, True, False, False, False, False]
-    x = toxicity.features(["not a b c d idiot", "not a b idiot"], toxicity.Lexicon(model.entries))
+    learned = {"=idiot": (toxicity.INSULT, 6.0), "stupi": (toxicity.INSULT, 6.0)}
+    own = toxicity.Model.entries_of(pa.array([], pa.list_(pa.string())), np.zeros(0))
+    model = toxicity.Model.scaled(own | learned, np.zeros((0, 5)), np.zeros(0))
+    told = {
+        "you idiot": True, "the stupidity": True, "no. you idiot": True, "idiot, stupid": True, "I will kill you": True, "idiot you": True,
+        "idiot": False, "stupidity": False, "what idiot": False, "idiot. you": False, "you\nidiot": False,  # words alone in their clause
+        "kill": False, "kill the process": False, "he is not an idiot": False, "she said he is an idiot": False, "fine words": False, "": False, None: False, "idiotic": False,
+    }
+    assert dict(zip(told, (model.score(list(told)) >= 0.7).tolist(), strict=True)) == told
+    x = toxicity.features(["he is not a b c d idiot", "he is not a b idiot"], toxicity.Lexicon(model.entries))
     assert x[:, 3].tolist() == [0, 6]
 
 
+def test_grammar_equals_a_walk_word_by_word():
+    learned = {"=idiot": (toxicity.INSULT, 2.0), "stupi": (toxicity.INSULT, 3.0)}
+    entries = toxicity.Model.entries_of(pa.array([], pa.list_(pa.string())), np.zeros(0)) | learned
+    kinds = {w: sum(k for k, listed in toxicity.WORDS.items() if w in listed.split()) for listed in toxicity.WORDS.values() for w in listed.split()}
+    r = random.Random(12)
+    vocab = ["idiot", "stupid", "stupidly", "kill", "you", "the", "not", "said", "plain", "other", "words"]
+    texts = [" ".join(r.choice(vocab) + r.choice(["", "", "", ".", ","]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    want = np.zeros((len(texts), 5))
+    for row, text in enumerate(texts):
+        for clause in re.split("[.]", text):
+            sums, calm, reach, reported, target, naming, insults = [0.0, 0.0, 0.0, 0.0], [0, 0], 0, False, False, False, 0
+            for w in re.findall("[a-z]+", clause):
+                kind = kinds.get(w, 0)
+                weight = 2.0 if w == "idiot" else 3.0 if w.startswith("stupi") else 0.0
+                if weight:
+                    insults += 1
+                    sums[0] += weight * (not reach and not reported)
+                    sums[2] += weight * (reach > 0)
+                    sums[3] += weight * reported
+                if kind & toxicity.THREAT:
+                    sums[1] += not reach and not reported
+                    calm[0] += reach > 0
+                    calm[1] += reported
+                reach = toxicity.REACH if kind & toxicity.NEGATION else max(0, reach - 1)
+                reported |= bool(kind & toxicity.REPORT)
+                target |= bool(kind & toxicity.TARGET)
+                naming |= bool(kind & toxicity.NAMING)
+            ok = target or naming or insults > 1
+            insult, threat = sums[0] * ok, sums[1] * target
+            want[row] += [insult, threat, insult > 0 or threat > 0, sums[2] * ok + calm[0] * target, sums[3] * ok + calm[1] * target]
+    assert np.array_equal(toxicity.features(texts, toxicity.Lexicon(entries)), want) and want[:, 1:].any(0).all()
+
+
+def test_long_and_repeated_rows_reach_the_fit(spark):
+    long = "you idiot " * 20_000
+    docs = spark.createDataFrame([(k, long + str(k)) for k in range(4)] + [(9, "b"), (9, "a"), (9, "c"), (None, "x"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(10)], "doc_id long, quality int, toxic int")
+    every = F.lit(True)
+    rows = [(r.text, r.label) for r in _labels.sample(docs, labels, "toxic", every).orderBy("place").collect()]
+    assert sorted(t for t, _ in rows if len(t) > 200_000) == sorted(long + str(k) for k in range(4)) and len(rows) == 5
+    assert rows == [(r.text, r.label) for r in _labels.sample(docs.repartition(5).orderBy(F.desc("text")), labels, "toxic", every).orderBy("place").collect()]
+
+
 def test_attention_gradient_learns_one_bad_passage():
     r = random.Random(1)
     good = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(n))
