@@ -61,7 +61,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import rules
 
-    return rules.judge(_table(spark, sf_dir, "documents")).drop("rule")
+    return rules.judge(_table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,6 +368,31 @@ def test_rules(spark):
     assert len(got) == 12 and not any(x.kept for x in got if x.n_words < 10) and rules.judge(empty(spark)).isEmpty()
 
 
+def test_rules_without_counts_agree_with_all_reasons(spark):
+    docs = spark.createDataFrame(made(33, 80) + [(900, None), (901, "# | a")], "doc_id long, text string")
+    why = {r.doc_id: r.rules for r in rules.reasons(docs).collect()}
+    alone = rules.judge(docs, counts=(), base=()).collect()
+    assert alone and all(r.kept == (not why[r.doc_id]) and not r.base_failed for r in alone) and alone[0].asDict().keys() == {"doc_id", "base_failed", "kept"}
+    whole = [rule.name for rule in rules.RULES if rule.rejects(rules.Texts(pa.array(["# | a"])))[0]]
+    assert why[901] == whole and "few_words" in why[900] and rules.reasons(empty(spark)).isEmpty()
+
+
+def test_the_order_is_of_rejections_per_cost_not_yet_spent():
+    found = {n: rules._Timed(s, asked, [np.array(v, bool)]) for n, s, asked, v in (
+        ("dear", 0.0, {"slow"}, [1, 1, 1, 1, 0, 0]), ("shared", 0.1, {"slow"}, [1, 0, 0, 0, 1, 0]), ("cheap", 0.1, {"fast"}, [1, 0, 0, 0, 0, 0]), ("same", 0.0, {"fast"}, [1, 0, 0, 0, 0, 0]),
+    )}
+    seconds = {"slow": 10.0, "fast": 1.0}
+    assert [e.name for e in rules.ranked(seconds, found)] == ["same", "dear", "shared", "cheap"]
+    assert rules.ranked(seconds, found)[3].rejected == 0  # nothing left for it to reject
+    assert [e.name for e in rules.ranked(seconds, found, {"slow"})][0] == "dear"
+
+
+def test_a_sample_is_drawn_from_the_whole_table(spark):
+    docs = spark.range(40_000).selectExpr("cast(id as string) text").coalesce(4)
+    got = [int(x) for x in rules.drawn(docs).to_pylist()]
+    assert 800 < len(got) < 1200 and all(sum(a <= x < a + 10_000 for x in got) > 150 for a in range(0, 40_000, 10_000))
+
+
 def test_cascade_order_changes_no_verdict():
     column = pa.array([t for _, t in made(32, 60)] + ["a | b | c | d # # # x y z w"])
     want = rules.cascade(rules.Texts(column), list(rules.RULES)) >= 0
