@@ -23,7 +23,6 @@ from folio.llm import _store
 
 ARCHIVE = 64 << 20  # bytes of payload a file, about
 END = b"\r\n\r\n"
-HEAD = 1 << 16  # bytes within which a record's own header ends
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
 
@@ -33,30 +32,49 @@ def base32(hexadecimal: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def described(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
-    """key, payload_bytes, payload_digest, record_type, refers_to of every row, without payloads.
+def groups(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
+    """payload_digest, payload_bytes, best (the largest key), n of payloads that stand in several rows."""
+    payload = F.coalesce(F.col(column), F.lit("")).cast("binary")
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32(F.sha1(payload)).alias("payload_digest"))
+    return rows.groupBy("payload_digest", "payload_bytes").agg(F.max("key").alias("best"), F.count("*").alias("n")).where("n > 1")
+
+
+def described(pages: DataFrame, parts: int, total: int, key: str = "page_id", url: str = "url", column: str = "html") -> DataFrame:
+    """key, url, payload, payload_bytes, payload_digest, record_type, refers_to of all `total` rows; payload is empty for revisits.
 
     Of rows with equal payloads that with the largest key is the response (rows that repeat that key too), the others
     revisit it. Null payloads are empty; null keys are below all others, and alone they are responses.
+
+    Payloads that stand in very many rows are told by a broadcast of at most 2 * parts of them, and these rows are dealt
+    evenly; the others meet their group in one shuffle.
     """
-    payload = F.coalesce(F.col(column), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32(F.sha1(payload)).alias("payload_digest"))
-    best = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("key").alias("best"))
-    both = rows.join(best, ["payload_digest", "payload_bytes"])
-    first = F.col("key").eqNullSafe(F.col("best"))
-    return both.select("key", "payload_bytes", "payload_digest", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("best")).alias("refers_to")).distinct()
+    payload = F.coalesce(F.col(column), F.lit(""))
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32(F.sha1(F.col("payload").cast("binary")))})
+    met = _store.written(groups(pages, column, key), "payloads")
+    by = ["payload_digest", "payload_bytes"]
+    bound = max(total // (2 * parts), 1)
+    hot = F.broadcast(met.where(F.col("n") > bound).select(*by, F.col("best").alias("top"), F.lit(True).alias("hot")))
+    rows = rows.join(hot, by, "left")
+    # a hot row needs no group any more: it gets a place by its key, and no payload unless it is the response
+    first = F.col("key").eqNullSafe(F.col("top"))
+    place = F.when(F.col("hot"), F.concat(F.lit("#"), F.xxhash64("key", "url").cast("string"))).otherwise(F.col("payload_digest"))
+    rows = rows.withColumns({"place": place, "payload": F.when(F.col("hot") & ~first, "").otherwise(F.col("payload"))})
+    cold = met.where(F.col("n") <= bound).select(F.col("payload_digest").alias("place"), "payload_bytes", "best")
+    both = rows.repartition(parts, "place", "payload_bytes").join(cold, ["place", "payload_bytes"], "left")
+    both = both.withColumn("best", F.when(F.col("hot"), F.col("top")).otherwise(F.col("best")))
+    revisit = F.col("best").isNotNull() & ~F.col("key").eqNullSafe(F.col("best"))
+    return both.select(
+        "key", "url", F.when(revisit, "").otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"),
+    )
 
 
 def write_monolithic(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", column: str = "html") -> None:
     """A WARC record for every row, many records in one gzip stream a file. Other columns are not written."""
-    what = _store.written(described(pages, key, column), "described")
-    total = what.agg(F.sum("payload_bytes")).first()[0] or 0
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE))
-    least = F.lit(-(1 << 63))
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), least).alias("k"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(column), F.lit("")).alias("payload"))
-    digest = base32(F.sha1(F.col("payload").cast("binary")))
-    rows = rows.withColumn("payload_digest", digest).repartition(parts, "k", "payload_digest")
-    both = rows.join(what.withColumn("k", F.coalesce("key", least)), ["k", "payload_digest"])
+    size, total = pages.agg(F.sum(F.octet_length(F.col(column))), F.count("*")).first()
+    parts = max(_store.shuffle_parts(pages.sparkSession), -(-(size or 0) // ARCHIVE))
+    both = described(pages, parts, total, key, url, column)
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     name = F.coalesce(F.col("key").cast("string"), F.lit("null"))
@@ -80,15 +98,15 @@ def write_monolithic(pages: DataFrame, path: str, key: str = "page_id", url: str
     both.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", END.decode()).text(path)
 
 
-def _head(raw: bytes) -> tuple[int, int]:
-    """Where a record's block starts and how long it is."""
-    end = raw.find(END)
+def _head(raw: bytes | bytearray, at: int = 0) -> tuple[int, int]:
+    """Where the block of the record at `at` starts, counted from there, and how long it is; -1 if the header does not end in raw."""
+    end = raw.find(END, at)
     if end < 0:
         return -1, 0
-    size = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", raw[: end + 2], re.I)
+    size = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", raw[at : end + 2], re.I)
     if not size:
         raise ValueError("a record without a Content-Length")
-    return end + 4, int(size[1])
+    return end + 4 - at, int(size[1])
 
 
 def inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -110,9 +128,9 @@ def split_records(content: bytes) -> Iterator[bytes]:
         held += piece
         done = 0  # bytes of held already given out
         while len(held) - done >= need:
-            start, size = _head(bytes(held[done : done + HEAD]))
-            if start < 0:
-                need = 0
+            start, size = _head(held, done)
+            if start < 0:  # twice as much before the next look, lest a long header be searched again and again
+                need = max(2 * (len(held) - done), 1 << 16)
                 break
             need = start + size + len(END)
             if len(held) - done < need:
@@ -120,8 +138,15 @@ def split_records(content: bytes) -> Iterator[bytes]:
             yield bytes(held[done : done + start + size])
             done, need = done + need, 0
         del held[:done]
-    if bytes(held).strip(b"\r\n\0"):
-        raise ValueError("the archive ends within a record")
+    at = 0
+    while at < len(held):  # the stream is over: what is left is whole records or a broken one
+        if not bytes(held[at:]).strip(b"\r\n\0"):
+            return
+        start, size = _head(held, at)
+        if start < 0 or at + start + size + len(END) > len(held):
+            raise ValueError("the archive ends within a record")
+        yield bytes(held[at : at + start + size])
+        at += start + size + len(END)
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> None:
@@ -156,8 +181,10 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     """Every record of the normalised archives, each inflated from its own place: key, payload_bytes, payload_digest,
     record_type, refers_to, url, payload (null for revisits). A response's payload is checked against its digest."""
     part = F.regexp_extract("path", r"part-(\d+)", 1)
-    archives = spark.read.format("binaryFile").load(f"{target}/kind=warc").select(part.alias("part"), F.col("content").alias("archive"))
-    indexes = spark.read.format("binaryFile").load(f"{target}/kind=index").select(part.alias("part"), F.col("content").alias("index"))
+    files = lambda kind: spark.read.format("binaryFile").load(f"{target}/kind={kind}")
+    parts = max(files("index").select("path").count(), 1)  # a task an archive, about, however many there are
+    archives = files("warc").select(part.alias("part"), F.col("content").alias("archive")).repartition(parts, "part")
+    indexes = files("index").select(part.alias("part"), F.col("content").alias("index")).repartition(parts, "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,4 +234,5 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", column:
     source, target = _store.shared_dir(spark, "warc-source"), _store.shared_dir(spark, "warc")
     write_monolithic(pages, source, key, url, column)
     normalise(spark, source, target)
+    _store.remove(spark, source)
     return read_records(spark, target).drop("url", "payload").withColumnRenamed("key", key)

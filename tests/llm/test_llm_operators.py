@@ -424,6 +424,13 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).isEmpty()
 
 
+def test_archives_with_long_headers_and_hot_payloads(spark):
+    long = "http://a/" + "x" * 70_000
+    rows = [(k, "hot") for k in range(300)] + [(k, f"own {k % 200}") for k in range(300, 700)] + [(None, "hot"), (None, "no key"), (None, "no key"), (699, "hot")]
+    pages = spark.createDataFrame([(i, long if k % 50 == 0 else None, h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    assert Counter(map(tuple, warc.round_trip(pages).collect())) == archived(rows)
+
+
 def test_large_records_and_members(spark, tmp_path):
     rows = [(1, "y" * (17 << 20)), (2, "small"), (3, "y" * (17 << 20))]
     pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
@@ -436,10 +443,13 @@ def test_large_records_and_members(spark, tmp_path):
 
 def test_records_of_one_stream_or_many():
     one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc"
-    for content in (gzip.compress((one + warc.END) * 5), b"".join(gzip.compress(one + warc.END) for _ in range(5))):
-        assert list(warc.split_records(content)) == [one] * 5
-    with pytest.raises(ValueError):
-        list(warc.split_records(gzip.compress(one[:-1])))
+    head = b"WARC/1.0\r\nX: " + b"y" * (5 << 20) + b"\r\nContent-Length: 3\r\n\r\nabc"
+    for records in ([one] * 5, [one, head, one], [head] * 2):
+        for content in (gzip.compress(b"".join(r + warc.END for r in records)), b"".join(gzip.compress(r + warc.END) for r in records)):
+            assert list(warc.split_records(content)) == records
+    for broken in (one[:-1], head[:-1], one + warc.END + one[:20]):
+        with pytest.raises(ValueError):
+            list(warc.split_records(gzip.compress(broken)))
 
 
 # --- 4, 5: classifiers ----------------------------------------------------------------------------
