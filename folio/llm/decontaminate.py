@@ -26,7 +26,6 @@ SHORT = {
     9: ((0, 1, 2, 4, 5), (0, 3, 4, 5, 6), (0, 1, 2, 3, 8), (0, 1, 6, 7, 8)),
 }
 SPAN = 10
-ORACLE_MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 6, 8, 9))  # the SQL's own, which miss some overlaps
 WINDOW, AGREE = 13, 10
 BROADCAST_SEEDS = 1_000_000  # about 60 MB in memory; more seeds are joined by a shuffle
 
@@ -67,13 +66,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column:
     """A row for each document and benchmark item that overlap: key, item, n_agree (item tokens that agree on the best
     diagonal), n_item_tokens, start (the document's token at which the item begins there, negative if it begins before).
 
-    Null texts have no tokens. Items without tokens match nothing. Rows with equal keys give
-    one result, the best of them; null keys are grouped as one key. Empty tables give an empty result. Other columns are
-    not read, whatever their names.
+    Null texts have no tokens. Items without tokens match nothing. Rows with equal keys, and items with equal ids, give one
+    result, the best of them, each text compared by itself; null keys are grouped as one key, null ids as one id. Empty
+    tables give an empty result. Other columns are not read, whatever their names.
     """
     from folio.llm import _store
 
-    test = benchmark.select(F.col(item).alias("__id"), tokens(F.col(item_column)).alias("__item"))
+    test = benchmark.select(F.col(item).alias("__id"), F.xxhash64(F.col(item_column)).alias("__i"), F.col(item_column).alias("__t"))
+    test = test.dropDuplicates(["__id", "__i"]).select("__id", "__i", tokens(F.col("__t")).alias("__item"))
     size = F.size("__item")
     short = sorted(r[0] for r in test.where((size > 0) & (size < SPAN)).select(size).distinct().collect())
     masks = [(m, size >= SPAN) for m in MASKS] + [(m, size == k) for k in short for m in SHORT[k]]
@@ -82,11 +82,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column:
         seeds = F.broadcast(seeds)
     train = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(column)).alias("__h"), F.col(column).alias("__text"))
     places = _seeds(train.select("__key", "__h", tokens(F.col("__text")).alias("__doc")), "__doc", "__p", [(m, F.lit(True)) for m, _ in masks])
-    found = places.join(seeds, "seed").select("__key", "__h", "__id", (F.col("__p") - F.col("__q")).alias("__at")).distinct()
+    found = places.join(seeds, "seed").select("__key", "__h", "__id", "__i", (F.col("__p") - F.col("__q")).alias("__at")).distinct()
     # hits are written, so that the next join knows their size: few are broadcast, many are shuffled
     found = _store.written(found, "hits")
     met = train.alias("d").join(found.alias("f"), F.col("d.__key").eqNullSafe(F.col("f.__key")) & (F.col("d.__h") == F.col("f.__h")))
-    hits = met.select("f.__key", "f.__id", "f.__at", "d.__text").join(test, "__id")
+    hits = met.select("f.__key", "f.__id", "f.__i", "f.__at", "d.__text").alias("m")
+    hits = hits.join(test.alias("t"), F.col("m.__id").eqNullSafe(F.col("t.__id")) & (F.col("m.__i") == F.col("t.__i")))
+    hits = hits.select("m.__key", "m.__id", "m.__at", "m.__text", "t.__item")
     agree, measure = _agreement()
     # each array is made once: a plain column would be put into the filter below, and worked out anew for every element there
     hits = hits.select("__key", "__id", "__at", "__item", F.explode_outer(F.array(tokens(F.col("__text")))).alias("__doc"))
@@ -104,16 +106,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_i
     return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
 
 
-def oracle(masks: tuple = ORACLE_MASKS) -> str:
-    """DuckDB SQL for overlaps() of documents and benchmark, as far as ORACLE_MASKS reach."""
+def oracle() -> str:
+    """DuckDB SQL for overlaps() of documents and benchmark by the rule itself: all diagonals on which tokens agree, no seeds."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda t: t <> '')"
-    kept = " union all ".join("select {id}, p, '%d ' || %s as seed from {t}, unnest(range(0, greatest(len(w) - %d, 0))) u(p)" % (m, " || ' ' || ".join(f"w[p + {o + 1}]" for o in mask), SPAN - 1) for m, mask in enumerate(masks))
     return f"""
 with d as (select doc_id, {words} w from documents), b as (select item_id, {words} w from benchmark),
-ds as ({kept.format(id='doc_id', t='d')}), bs as ({kept.format(id='item_id', t='b')}),
-hits as (select distinct doc_id, item_id, ds.p - bs.p as shift from ds join bs using (seed)),
-diag as (select doc_id, item_id, shift, len(b.w) n, list_transform(range(1, len(b.w) + 1), lambda i: case when shift + i >= 1 and shift + i <= len(d.w) and d.w[shift + i] = b.w[i] then 1 else 0 end) g
-  from hits join d using (doc_id) join b using (item_id)),
-judged as (select doc_id, item_id, shift, n, list_sum(g) total, list_max(list_transform(range(1, n - least({WINDOW}, n) + 2), lambda s: list_sum(g[s : s + least({WINDOW}, n) - 1]))) best from diag)
+dt as (select doc_id, unnest(w) t, generate_subscripts(w, 1) p from d), bt as (select item_id, len(w) n, unnest(w) t, generate_subscripts(w, 1) q from b),
+diag as (select doc_id, item_id, p - q as shift, any_value(n) n, least(any_value(n), {WINDOW}) width, count(*) total, list(q) qs from dt join bt using (t) group by all having count(*) * {WINDOW} >= least(any_value(n), {WINDOW}) * {AGREE}),
+judged as (select *, list_max(list_transform(qs, lambda s: len(list_filter(qs, lambda q: q >= least(s, n - width + 1) and q < least(s, n - width + 1) + width)))) best from diag)
 select doc_id, item_id, cast(max(total) as bigint) n_agree, cast(max(n) as bigint) n_item_tokens, cast(arg_min(shift, (-total, shift)) as bigint) as start
-from judged where best * {WINDOW} >= least({WINDOW}, n) * {AGREE} group by doc_id, item_id"""
+from judged where best * {WINDOW} >= width * {AGREE} group by doc_id, item_id"""

@@ -328,6 +328,29 @@ def test_overlaps_equal_the_rule_without_seeds(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(frame(rows, "doc_id"), frame(items, "item_id")).collect()} == want
 
 
+def test_null_and_repeated_items(spark):
+    r = random.Random(23)
+    say = lambda: " ".join(f"t{r.randrange(10**6)}" for _ in range(20))
+    a, b, c, d = say(), say(), say(), say()
+    items = spark.createDataFrame([(None, a), (7, b), (7, c), (7, c), (8, d), (None, d)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x " + a), (6, b), (None, c + " y"), (9, d), (10, say()), (6, "z " + c)], "doc_id long, text string")
+    got = Counter(tuple(x) for x in decontaminate.overlaps(docs, items).collect())
+    assert got == Counter([(5, None, 20, 20, 1), (6, 7, 20, 20, 0), (None, 7, 20, 20, 0), (9, 8, 20, 20, 0), (9, None, 20, 20, 0)])
+    assert [x.doc_id for x in decontaminate.remove_contaminated(docs, items).collect()] == [10]
+
+
+def test_recall_over_all_ways_to_change_three_of_thirteen(spark):
+    ways = list(itertools.combinations(range(13), 3))
+    items = [(k, [f"i{k}t{j}" for j in range(13 + k % 18)]) for k in range(len(ways))]  # 13 to 30 tokens, changed within 13 of them
+    docs = []
+    for k, t in items:
+        at = (k // 18) % (len(t) - 12)
+        docs.append((k, ["z", *("changed" if j - at in ways[k] else w for j, w in enumerate(t) if at <= j < at + 13), "z"]))
+    frame = lambda x, key: spark.createDataFrame([(k, " ".join(w)) for k, w in x], f"{key} long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert found == {(k, k) for k in range(len(ways))}
+
+
 def test_overlaps_run_without_python(spark):
     docs, test = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = decontaminate.overlaps(docs, test)._jdf.queryExecution().toString()
