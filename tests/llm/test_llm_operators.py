@@ -258,6 +258,39 @@ def test_pairs_within_a_hot_set_are_linked(spark):
     assert got == {k: k - k % 2 if k < 1000 else k for k, _ in rows}
 
 
+def test_links_against_all_weighted_pairs(spark):
+    rows = [r for r in made(27, 260, 300) if r[1]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = neardup.slot_weights(neardup.document_frequencies(frame))
+    weight = {}
+    for i, t in rows:
+        _, h, n = neardup.shingles(pa.array([t]))
+        weight[i] = dict(zip(h.tolist(), neardup._weights(h, n, slots).tolist(), strict=True))
+    alike = []
+    for x, y in itertools.combinations(weight, 2):
+        common = sum(min(weight[x][s], weight[y][s]) for s in weight[x].keys() & weight[y].keys())
+        if common >= 0.8 * (sum(weight[x].values()) + sum(weight[y].values()) - common) and common:
+            alike.append((x, y))
+    got = dict(neardup.classes(frame).collect())
+    assert len(alike) > 100 and sum(got[x] == got[y] for x, y in alike) >= 0.99 * len(alike)
+    root = {i: i for i in weight}
+    for x, y in alike:
+        a, b = sorted((root[x], root[y]))
+        root = {i: a if c == b else c for i, c in root.items()}
+    assert sum(got[i] == root[i] for i in root) >= 0.99 * len(root)  # and nothing else is joined
+
+
+def test_near_duplicates_with_null_and_mixed_keys(spark):
+    r = random.Random(3)
+    w = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    near = " ".join([*w[:60], "changed", *w[61:]])
+    for keys in ((1, 2), (None, None), (None, 2), (1, None)):
+        docs = spark.createDataFrame([(keys[0], " ".join(w))] * 3 + [(keys[1], near)] * 2, "doc_id long, text string")
+        least = min((k for k in keys if k is not None), default=None)
+        assert {x.class_id for x in neardup.classes(docs).collect()} == {least}
+        assert neardup.drop_near_duplicates(docs).count() == 1
+
+
 def test_near_duplicates_of_edges(spark):
     got = Counter((r.doc_id, r.class_id) for r in neardup.classes(edges(spark)).collect())
     assert got == Counter({(1, 1): 3, (None, 1): 1, (None, 2): 1, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1, (7, 7): 1, (8, 7): 1})
