@@ -41,6 +41,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of a few MB at a path of any store that Spark writes."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(content))
+    out.close()
+
+
 def batched(df: DataFrame) -> DataFrame:
     """df, with batches to workers bounded in its session: texts of any length make the default of 10,000 rows unbounded."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)

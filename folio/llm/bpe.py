@@ -5,8 +5,9 @@ other signs) by class runs over its code points. Frequent pieces are compiled in
 transducer: a shared-suffix automaton whose arc outputs add up to the piece's number, which leads to
 its ids. The automaton is one file of flat arrays that every worker maps into memory. Pieces it does
 not hold are merged exactly, many at a time. Results equal those of the public library for the given
-vocabulary file; texts with code points whose folding is not one to one, and texts holding a special
-token's string, are encoded by that library itself.
+vocabulary file. A word (between white space) with a code point whose folding is not one to one, beyond the
+basic plane or newer than Unicode 3.2, or with a special token's beginning, is encoded by that library,
+each distinct word once; the rest of its text is not.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import _store, _text
 
-LIMIT = 0x300  # code points below need no normalisation
+LIMIT = 0x10000  # code points from here on are left to the library
 SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
 NONE = np.int32(2**31 - 1)
 #: The public pattern's contraction tails.
@@ -33,19 +34,26 @@ TAILS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 FREQUENT = 1 << 16  # pieces in the lexicon
 
 
+#: White space of the public pattern, and control signs of which it is not told.
+BLANKS = (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+UNCLEAR = (0x85, *range(0x1C, 0x20), *range(0x1100, 0x1200))  # the last: parts of syllables, which compose
+
+
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class and lower case of each code point below LIMIT, one more entry for all others."""
     kind, low = np.full(LIMIT + 1, OTHER, np.uint8), np.arange(LIMIT + 1, dtype=np.uint32)
     for c in range(LIMIT):
-        major, small = unicodedata.category(chr(c))[0], chr(c).lower()
-        kind[c] = LETTER if major == "L" else DIGIT if major == "N" else OTHER
-        if len(small) > 1 or unicodedata.normalize("NFC", chr(c)) != chr(c) or ord(small) >= LIMIT or unicodedata.category(chr(c)) == "Cn":
+        one = chr(c)
+        group, small = unicodedata.category(one), one.lower()
+        kind[c] = LETTER if group[0] == "L" else DIGIT if group[0] == "N" else OTHER
+        old = unicodedata.ucd_3_2_0.category(one)  # what all versions since agree on
+        if group[0] == "M" or group in ("Cn", "Cs", "Co") or old != group or len(small) > 1 or ord(small) >= LIMIT or unicodedata.normalize("NFC", one) != one or unicodedata.normalize("NFC", small) != small:
             kind[c] = HARD
         else:
             low[c] = ord(small)
-    kind[[0x20, 0xA0, *range(9, 14)]] = SPACE
-    kind[[0x85, *range(0x1C, 0x20)]] = HARD
+    kind[list(UNCLEAR)] = HARD
+    kind[list(BLANKS)] = SPACE
     kind[LIMIT] = HARD
     return kind, low
 
@@ -54,26 +62,32 @@ _LOW = np.random.default_rng(77).integers(1, 1 << 63, LIMIT + 1, dtype=np.uint64
 
 
 class Pieces:
-    """The pieces of a chunk of texts: spans of `cps` (lower-cased code points), rows[i]:rows[i + 1] those of text i; hard: rows left to the library."""
+    """The pieces of a chunk of texts: spans starts, ends of `cps` (lower-cased code points). hard_at, hard: place and text of
+    each word left to the library; cuts: where each text starts."""
 
     def __init__(self, texts: list[str | None]):
         kind_of, low = _tables()
         sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        raw = np.frombuffer("".join([t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join([t for t in texts if t])
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         cps = np.minimum(raw, LIMIT)
         kind = kind_of[cps]
         cps = low[cps]
         n = len(cps)
-        bad = np.flatnonzero(kind == HARD)
-        self.hard = np.zeros(len(texts), bool)
-        self.hard[np.searchsorted(cuts, bad, "right") - 1] = True
-        bar = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)) if n > 1 else bad[:0]  # "<|", as special tokens begin
-        if len(bar):
-            rows = np.unique(np.searchsorted(cuts, bar, "right") - 1)
-            self.hard[rows] = True
-        if self.hard.any():
-            kind = np.where(np.repeat(self.hard, sizes), SPACE, kind)
+        bad = kind == HARD
+        if n > 1:
+            bad[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)  # "<|", as special tokens begin
+        self.hard_at, self.hard = np.zeros(0, np.int64), []
+        if bad.any():
+            edge = np.ones(n + 1, bool)  # where a word or a blank begins
+            edge[1:n] = (kind[1:] == SPACE) | (kind[:-1] == SPACE)
+            edge[cuts] = True
+            edges = np.flatnonzero(edge)
+            words = np.unique(np.searchsorted(edges, np.flatnonzero(bad), "right") - 1)
+            s, e = edges[words], edges[words + 1]
+            self.hard_at, self.hard = s, [joined[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+            kind[_text.ranges(s, e - s)] = SPACE  # no piece of their own here
         start = np.empty(n, bool)
         if n:
             start[0] = True
@@ -83,9 +97,9 @@ class Pieces:
         marks = np.flatnonzero((cps == 0x27) & start & (kind == OTHER))
         if len(marks):
             row_end = cuts[np.searchsorted(cuts, marks, "right")]
-            padded = np.concatenate([cps, np.zeros(3, cps.dtype)])
-            a = np.where(marks + 1 < row_end, padded[marks + 1], 0)
-            b = np.where(marks + 2 < row_end, padded[marks + 2], 0)
+            padded, held = np.concatenate([cps, np.zeros(3, cps.dtype)]), np.concatenate([kind, np.full(3, SPACE, kind.dtype)])
+            a = np.where((marks + 1 < row_end) & (held[marks + 1] != SPACE), padded[marks + 1], 0)
+            b = np.where((marks + 2 < row_end) & (held[marks + 2] != SPACE), padded[marks + 2], 0)
             for tail in TAILS:
                 fits = a == ord(tail[1])
                 if len(tail) > 2:
@@ -101,8 +115,7 @@ class Pieces:
         end = np.append(at[1:], n)
         solid = kind[at] != SPACE
         self.starts, self.ends = at[solid], end[solid]
-        self.cps = cps
-        self.rows = np.searchsorted(self.starts, cuts)
+        self.cps, self.cuts = cps, cuts
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each piece, the same for equal pieces, and where the first of each number stands."""
@@ -129,11 +142,15 @@ class Pieces:
         """The UTF-8 bytes of the pieces `which`, and their offsets."""
         size = (self.ends - self.starts)[which]
         cps = self.cps[_text.ranges(self.starts[which], size)]
-        wide = cps >= 0x80
-        at = np.arange(len(cps)) + np.concatenate([[0], np.cumsum(wide)[:-1]]) if len(cps) else np.zeros(0, np.int64)
-        out = np.empty(len(cps) + int(wide.sum()), np.uint8)
-        out[at] = np.where(wide, 0xC0 | (cps >> 6), cps)
-        out[at[wide] + 1] = 0x80 | (cps[wide] & 0x3F)
+        width = 1 + (cps >= 0x80) + (cps >= 0x800)
+        ends = np.cumsum(width)
+        at = ends - width
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        two, three = width == 2, width == 3
+        out[at] = np.where(three, 0xE0 | (cps >> 12), np.where(two, 0xC0 | (cps >> 6), cps))
+        out[at[two] + 1] = 0x80 | (cps[two] & 0x3F)
+        out[at[three] + 1] = 0x80 | ((cps[three] >> 6) & 0x3F)
+        out[at[three] + 2] = 0x80 | (cps[three] & 0x3F)
         o = np.concatenate([[0], np.cumsum(size)])
         return out, np.append(at, len(out))[o]
 
@@ -346,7 +363,8 @@ class Lexicon:
         self.offsets, self.ids = arrays["offsets"], arrays["ids"]
 
     @staticmethod
-    def save(path: str, words: list[bytes], vocabulary: Vocabulary) -> None:
+    def dump(words: list[bytes], vocabulary: Vocabulary) -> bytes:
+        """The file's bytes."""
         words = sorted(set(words))
         t = Transducer.compile(words)
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -357,10 +375,7 @@ class Lexicon:
             head.append((name, a.dtype.str, len(a), at))
             at += -(-a.nbytes // 8) * 8
         top = json.dumps(head).encode()
-        with open(path, "wb") as f:
-            f.write(len(top).to_bytes(8, "little") + top.ljust(-(-len(top) // 8) * 8))
-            for a in parts:
-                f.write(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0"))
+        return b"".join([len(top).to_bytes(8, "little"), top.ljust(-(-len(top) // 8) * 8), *(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in parts)])
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -372,8 +387,11 @@ class Lexicon:
 
 
 class Encoder:
+    MOST_KNOWN = 1 << 16  # words of the library that are remembered
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
+        self.known: dict[str, np.ndarray] = {}
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another, and each text's offset."""
@@ -385,24 +403,32 @@ class Encoder:
         bytes_, uo = _text.gather(data, o[unseen], o[unseen + 1])
         ids, io = self.v.merge(bytes_, uo)
         starts, counts = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        starts[unseen], counts[unseen] = io[:-1], np.diff(io)
         if self.lexicon:
             seen = number >= 0
             at = self.lexicon.offsets
             starts[seen] = at[number[seen]] + len(ids)
             counts[seen] = at[number[seen] + 1] - at[number[seen]]
             ids = np.concatenate([ids, self.lexicon.ids])
-        starts[unseen], counts[unseen] = io[:-1], np.diff(io)
-        out = ids[_text.ranges(starts[code], counts[code])] if len(code) else np.zeros(0, np.int32)
-        sums = np.concatenate([[0], np.cumsum(counts[code])])
-        rows = sums[p.rows]
-        if not p.hard.any():
-            return out, rows
-        parts, sizes = [], []
-        for k, hard in enumerate(p.hard):
-            x = np.array(self.v.library.encode(texts[k], add_special_tokens=False).ids, np.int32) if hard else out[rows[k] : rows[k + 1]]
-            parts.append(x)
-            sizes.append(len(x))
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+        place, starts, counts = p.starts, starts[code], counts[code]
+        if len(p.hard):
+            found = [self._by_library(w) for w in p.hard]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ends = np.cumsum(sizes) + len(ids)
+            ids = np.concatenate([ids, *found])
+            place = np.concatenate([place, p.hard_at])
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            starts, counts = np.concatenate([starts, ends - sizes])[order], np.concatenate([counts, sizes])[order]
+        out = ids[_text.ranges(starts, counts)] if len(counts) else np.zeros(0, np.int32)
+        return out, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(place, p.cuts)]
+
+    def _by_library(self, word: str) -> np.ndarray:
+        if word not in self.known:
+            if len(self.known) >= self.MOST_KNOWN:
+                self.known.clear()
+            self.known[word] = np.array(self.v.library.encode(word, add_special_tokens=False).ids, np.int32)
+        return self.known[word]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The library's decode for a file without a decoder: token strings joined by one space."""
@@ -427,36 +453,48 @@ def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
             p = Pieces(b.column(0).to_pylist())
             code, first = p.distinct()
             if len(first):
-                n = np.bincount(code, minlength=len(first))
-                often = np.flatnonzero(n > 1)  # a chunk's single occurrences carry no weight in a list of frequent pieces
-                data, o = p.utf8(first[often])
-                yield pa.record_batch([_text.string_array(data, o).cast(pa.binary()), pa.array(n[often])], ["piece", "n"])
+                data, o = p.utf8(first)
+                yield pa.record_batch([_text.string_array(data, o).cast(pa.binary()), pa.array(np.bincount(code, minlength=len(first)))], ["piece", "n"])
 
     return _store.batched(docs.select(F.col(column))).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, most: int, steps: int = 1024) -> DataFrame:
+    """The `most` rows (piece, n) of greatest n, of equals those of least hash; no task and no driver holds more than `steps` counts."""
+    value, low, high = F.col("n"), 0, counts.agg(F.max("n")).first()[0]
+    taken, left = F.lit(False), most
+    for name in ("n", "hash"):
+        while high is not None and high > low:  # the step in which the cut falls is halved again and again
+            width = -(-(high - low + 1) // steps)
+            step = F.floor((value - low) / width).cast("long")
+            rows = counts.where(~taken & value.between(low, high)).groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()
+            total, cut = 0, None
+            for r in sorted(rows, key=lambda r: -r["step"]):
+                if total + r["k"] > left:
+                    cut = r["step"]
+                    break
+                total += r["k"]
+            if cut is None:  # all of them fit
+                return counts.where(taken | (value >= low)) if name == "n" else counts.where(taken | value.between(low, high))
+            bound = low + (cut + 1) * width
+            taken, left = taken | value.between(bound, high), left - total
+            low, high = low + cut * width, min(high, bound - 1)
+        if name == "n" and high is not None:  # of the pieces of one count, by hash
+            counts = counts.withColumn("hash", F.when(F.col("n") == low, F.pmod(F.xxhash64("piece"), F.lit(1 << 40))).otherwise(-1))
+            value, low, high = F.col("hash"), 0, (1 << 40) - 1
+    return counts.where(taken)
+
+
 def build_lexicon(docs: DataFrame, vocab_path: str, column: str = "text", frequent: int = FREQUENT) -> str:
     """Compile the corpus's most frequent pieces, `frequent` at most, and hand the file to every executor; its name."""
-    import os
-    import tempfile
-    import uuid
-
     spark = docs.sparkSession
     counts = _store.written(piece_counts(docs, column), "pieces")
-    # the least count that keeps within `frequent`, from a histogram of bounded size: eight steps an octave
-    step = F.floor(F.log2("n") * 8).cast("int")
-    total, cut = 0, 0
-    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("pieces")).orderBy(F.desc("step")).collect():
-        total += row["pieces"]
-        if total > frequent:
-            cut = row["step"] + 1
-            break
-    words = [bytes(r[0]) for r in counts.where(step >= cut).select("piece").collect()]
-    folder = tempfile.mkdtemp()
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    Lexicon.save(os.path.join(folder, name), words, vocabulary(vocab_path))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+    words = [bytes(r[0]) for r in _most_frequent(counts, frequent).select("piece").collect()]
+    _store.forget(counts)
+    path = _store.shared_dir(spark, "lexicon") + ".bin"
+    _store.put(spark, path, Lexicon.dump(words, vocabulary(vocab_path)))  # a few MB
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon: str | None = None, column: str = "text") -> DataFrame:

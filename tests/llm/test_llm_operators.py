@@ -90,6 +90,45 @@ def test_encoder_equals_the_library(path):
         assert bpe.Encoder(v, None).decode(ids[rows[k] : rows[k + 1]]).decode() == v.library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_without_the_library_equals_it(path):
+    kind, _ = bpe._tables()
+    easy = [chr(c) for c in range(bpe.LIMIT) if kind[c] != bpe.HARD]
+    texts = ["".join(f"a{c}B {c}1 {c}{c}'s{c}" for c in easy[k : k + 32]) for k in range(0, len(easy), 32)]
+    encoder = bpe.Encoder(bpe.vocabulary(path), None)
+    ids, rows = encoder(texts)
+    want = bpe.vocabulary(path).library.encode_batch(texts, add_special_tokens=False)
+    assert len(easy) > 45_000 and not encoder.known
+    assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(rows, rows[1:], want, strict=False))
+
+
+def test_hard_words_alone_go_to_the_library(path):
+    say = "It’s an em—dash, „quotes“, Привет мир! 你好，世界。 καλημέρα ΣΟΦΟΣ cafe\u0301 x\U0001f600y <|endoftext|>b naïve e\u0301\u0323 \u1100\u1161 한국어 "
+    texts = [say * 3, "'s " + say, None, say.replace(" ", "\u3000"), "\U0001f600", "a\U0001f600", "'\U0001f600's", "x'" + say]
+    encoder = bpe.Encoder(bpe.vocabulary(path), None)
+    ids, rows = encoder(texts)
+    for k, t in enumerate(texts):
+        assert ids[rows[k] : rows[k + 1]].tolist() == bpe.vocabulary(path).library.encode(t or "", add_special_tokens=False).ids
+    assert set(encoder.known) <= {"cafe\u0301", "x\U0001f600y", "<|endoftext|>b", "e\u0301\u0323", "\u1100\u1161", "\U0001f600", "a\U0001f600", "'\U0001f600's"}
+
+
+def test_piece_counts_are_of_the_whole_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"once{k} each each",) for k in range(30)] + [("single",)], "text string").repartition(5)
+    want = Counter({b"each": 60, b"once": 30, b"single": 1}) + Counter(str(d).encode() for k in range(30) for d in str(k))
+    for chunk in (1, 1 << 21):
+        monkeypatch.setattr(_text.chunks, "__defaults__", (chunk,))
+        assert {bytes(r.piece): r.n for r in bpe.piece_counts(docs).collect()} == want
+
+
+def test_the_most_frequent_pieces_are_cut_exactly(spark):
+    r = random.Random(14)
+    rows = [(f"p{k}".encode(), r.choice([1, 1, 1, 2, 3, 50, 900, 10**9])) for k in range(600)]
+    counts = spark.createDataFrame(rows, "piece binary, n long")
+    for most in (0, 1, 40, 75, 200, 599, 600, 1000):
+        got = [x.n for x in bpe._most_frequent(counts, most, steps=8).collect()]
+        assert sorted(got) == sorted(n for _, n in rows)[max(0, len(rows) - most) :]
+    assert bpe._most_frequent(counts.limit(0), 5).isEmpty()
+
+
 def test_transducer_accepts_its_words_alone(tmp_path, path):
     r = random.Random(4)
     words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))).encode() for _ in range(300)})
@@ -99,7 +138,7 @@ def test_transducer_accepts_its_words_alone(tmp_path, path):
     found = t.find(data, np.concatenate([[0], np.cumsum([len(w) for w in asked])]))
     assert found.tolist() == [words.index(w) if w in set(words) else -1 for w in asked]
     assert len(t.final) < sum(map(len, words)) / 3  # suffixes are shared
-    bpe.Lexicon.save(str(tmp_path / "x"), words, bpe.vocabulary(path))
+    (tmp_path / "x").write_bytes(bpe.Lexicon.dump(words, bpe.vocabulary(path)))
     texts = [" ".join(w.decode() for w in r.choices(words, k=30)) + " unseen" for _ in range(20)]
     with_, without = bpe.Encoder(bpe.vocabulary(path), bpe.Lexicon.load(str(tmp_path / "x"))), bpe.Encoder(bpe.vocabulary(path), None)
     assert np.array_equal(with_(texts)[0], without(texts)[0])
