@@ -26,8 +26,8 @@ PAGE_ROWS = 2000
 def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, lexicon: str | None = None, key: str = "doc_id", column: str = "text", encoding: str = "delta") -> None:
     """Encode every whole text of docs, append end_id to each, and write part, key, local_start, n_tokens, ids.
 
-    Null and empty texts give the end id alone. Rows of equal keys stand in the order of their texts; null keys come
-    first. An empty table gives files without rows. Columns beside key and column are not written.
+    Null and empty texts give the end id alone. Rows of equal keys stand in the order of a hash of their texts, then of the
+    texts, so that one key's rows may fill several files; null keys come first. An empty table gives files without rows. Columns beside key and column are not written.
     encoding: "delta" (DELTA_BINARY_PACKED) or "dictionary" pages for the ids.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -45,9 +45,9 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, lexic
             yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(before + o[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(out))], ["part", "key", "local_start", "n_tokens", "ids"])
             before += int(ends[-1])
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).alias("key"), F.col(column).alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    parts = _store.parts_for(docs, column)
+    hashed = docs.select(F.col(key).alias("key"), F.col(column).alias("text"), F.xxhash64(F.col(column)).alias("hash"))
+    ordered = hashed.repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash", "text").select("key", "text")
     rows = _store.batched(ordered).mapInArrow(run, f"part int, key {kind}, local_start long, n_tokens long, ids array<int>").withColumnRenamed("key", key)
     (
         rows.write.option("compression", "zstd")

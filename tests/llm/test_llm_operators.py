@@ -157,7 +157,8 @@ def test_round_trip_and_files(spark, path, tmp_path):
         for kind in ("delta", "dictionary"):
             out = f"file://{tmp_path}/{kind}{len(rows)}"
             tokens.write_tokens(docs, out, path, 2, encoding=kind)
-            ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+            hashes = {r[0]: r[1] for r in docs.select("text", F.xxhash64("text")).collect()}
+            ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1] is not None, (r[1] or "").encode()))
             start, expect = 0, []
             for i, t in ordered:
                 ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
@@ -179,6 +180,14 @@ def test_ids_and_texts_are_returned(spark, path):
         assert list(x.ids) == want and x.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_a_hot_key_fills_several_files(spark, path, tmp_path):
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, null, id) doc_id", "concat('text ', id) text")
+    tokens.write_tokens(docs, f"file://{tmp_path}/hot", path, 2)
+    found = tokens.read_tokens(spark, f"file://{tmp_path}/hot").orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted((k if k % 3 else None for k in range(4000)), key=lambda k: (k is not None, k or 0))
+    assert spark.read.parquet(f"file://{tmp_path}/hot").where("doc_id is null").select("part").distinct().count() > 1
+
+
 def test_files_have_page_indexes(spark, path, tmp_path):
     import glob
 
