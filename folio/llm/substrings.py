@@ -4,7 +4,11 @@ Every window of `size` words belongs to the bucket of its minimiser, the least h
 MER words. Consecutive windows with one minimiser travel as one packed string, and in its bucket
 sorting brings equal windows together; equality is checked byte for byte. Windows that repeat within
 a chunk of a map task are settled there, so that a passage with a million copies reaches its bucket
-once a chunk. No document text is gathered by group, and no window stands alone on the wire.
+once a chunk. Partitions follow the bytes of all texts. Minimisers that a sample of documents shows to
+fill a good part of a partition are refined by a second minimiser, over longer runs of words; what is
+in a bucket beyond LARGE bytes is counted in several passes, each over some of the window hashes, where
+equality is that of two independent 64-bit hashes. No document text is gathered by group, and no window
+stands alone on the wire.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from folio.llm import _store, _text
 MER = 2
 CHUNK = 4 << 20  # bytes of text in which a map task settles repeats itself
 FINE = 16  # buckets for each shuffle partition; one bucket at a time is in memory
+LONG_MER = 8  # words of the runs that part the windows of a frequent minimiser
+SAMPLED = 64  # one in so many documents is looked at for frequent minimisers
+LARGE = 24 << 20  # plain bytes of a bucket that are counted at once
 _ZSTD = pa.Codec("zstd", 5)
 NULL_ID = -(1 << 63)
 _SHIPPED = "bucket int, blob binary, k long, h long, starts array<int>, ends array<int>"
@@ -59,7 +66,34 @@ def _ranges_batch(k: np.ndarray, h: np.ndarray, bucket: np.ndarray, starts: pa.A
     return pa.record_batch([pa.array(bucket, pa.int32()), pa.nulls(n, pa.binary()), pa.array(k), pa.array(h), starts, ends], ["bucket", "blob", "k", "h", "starts", "ends"])
 
 
-def _pack(batch: pa.RecordBatch, size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _minimisers(hashes: np.ndarray, at: np.ndarray, size: int, mer: int = MER) -> np.ndarray:
+    """The minimiser of each window at words `at`."""
+    ends = np.arange(mer, len(hashes) + 1)
+    mers = _text.mix(_text.spans_hash(hashes, ends - mer, ends) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return _sliding_min(mers, size - mer + 1)[at]
+
+
+def frequent_minimisers(keyed: DataFrame, size: int, parts: int) -> np.ndarray:
+    """The minimisers (sorted) of more than one in 2 * parts of the windows of a sample of documents; 2 * parts at most."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.chunks(batches, "text", CHUNK):
+            words = _text.Words(b.column(0))
+            hashes = words.hashes()
+            at, _ = _text.windows(words, hashes, size)
+            if len(at):
+                m, n = np.unique(_minimisers(hashes, at, size), return_counts=True)
+                yield pa.record_batch([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], ["m", "n"])
+
+    some = keyed.where(F.pmod(F.xxhash64("k", "h"), F.lit(SAMPLED)) == 0).select("text")
+    counts = _store.written(_store.batched(some).mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")), "minimisers")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = [r[0] for r in counts.where(F.col("n") * (2 * parts) > total).select("m").collect()]
+    _store.forget(counts)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _pack(batch: pa.RecordBatch, size: int, buckets: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A chunk (k, h, text): stretches it can settle alone, and its other windows as packed super-k-mers by bucket."""
     k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     order = np.lexsort((h, k))
@@ -86,11 +120,14 @@ def _pack(batch: pa.RecordBatch, size: int, buckets: int) -> Iterator[pa.RecordB
         yield _ranges_batch(k[which], h[which], (_text.mix((h ^ k)[which].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), ls, le)
     left = np.ones(len(at), bool)
     left[again] = False
-    mers = _text.mix(_text.spans_hash(hashes, np.arange(len(hashes) - MER + 1), np.arange(MER, len(hashes) + 1)) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    least = _sliding_min(mers, size - MER + 1)[at[left]]
     at = at[left]
     if not len(at):
         return
+    least = _minimisers(hashes, at, size)
+    if frequent is not None and len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, least), len(frequent) - 1)] == least
+        if hot.any():
+            least[hot] = _text.mix(least[hot] ^ _text.mix(_minimisers(hashes, at[hot], size, min(LONG_MER, size))))
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
     heads = np.flatnonzero(new)
@@ -113,15 +150,60 @@ def _pack(batch: pa.RecordBatch, size: int, buckets: int) -> Iterator[pa.RecordB
     yield pa.record_batch([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), none, none], ["bucket", "blob", "k", "h", "starts", "ends"])
 
 
-def _count(blobs: list[bytes], size: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """All super-k-mers of a bucket: the stretches covered by windows that also start earlier."""
+def _plain(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The heads (k, h, place, windows, bytes; a column a super-k-mer) and texts of packed blobs."""
     heads, texts = [], []
     for blob in blobs:
         plain = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
         n = int(np.frombuffer(plain, np.int64, 1)[0])
         heads.append(np.frombuffer(plain, np.int64, 5 * n, 8).reshape(5, n))
         texts.append(plain[8 + 40 * n :])
-    head = np.concatenate(heads, 1)
+    return np.concatenate(heads, 1), texts
+
+
+def _count_large(blobs: list[bytes], size: int, bucket: int, large: int) -> Iterator[pa.RecordBatch]:
+    """_count of a bucket too large to unpack at once: pass by pass over a part of the window hashes."""
+    sizes = np.array([int.from_bytes(blob[:8], "little") for blob in blobs])
+    ways, groups = int(-(-sizes.sum() // large)), np.cumsum(sizes) // max(large // 8, 1)
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(blobs)]
+    for way in range(ways):
+        parts = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            head, texts = _plain(blobs[x:y])
+            words = _text.Words(_text.string_array(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(head[4])])))
+            hashes = words.hashes()
+            at, wh = _text.windows(words, hashes, size)
+            mine = (wh >> np.uint64(33)) % np.uint64(ways) == way
+            at, wh = at[mine], wh[mine]
+            unit = np.repeat(np.arange(words.n), words.counts)[at]
+            _, other = _text.windows(words, _text.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), size)
+            parts.append((wh, other[mine], head[0][unit], head[1][unit], head[2][unit] + at - words.rows[unit]))
+        wh, other, k, h, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((place, h, k, other, wh))
+        wh, other, k, h, place = (c[by] for c in (wh, other, k, h, place))
+        run = np.ones(len(by), bool)
+        run[1:] = (wh[1:] != wh[:-1]) | (other[1:] != other[:-1])
+        first = np.maximum.accumulate(np.where(run, np.arange(len(by)), 0))
+        again = np.flatnonzero((k != k[first]) | (h != h[first]) | (place != place[first]))
+        again = again[np.lexsort((place[again], h[again], k[again]))]
+        if not len(again):
+            continue
+        k, h, place = k[again], h[again], place[again]
+        new = np.ones(len(again), bool)
+        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+        doc = np.cumsum(new) - 1
+        r, s, e = _spans(place, doc, size)
+        which, ls, le = _lists(r, s, e)
+        of = np.flatnonzero(new)[which]
+        yield _ranges_batch(k[of], h[of], np.full(len(which), bucket), ls, le)
+
+
+def _count(blobs: list[bytes], size: int, bucket: int, large: int = LARGE) -> Iterator[pa.RecordBatch]:
+    """All super-k-mers of a bucket: the stretches covered by windows that also start earlier."""
+    if sum(int.from_bytes(blob[:8], "little") for blob in blobs) > large:
+        yield from _count_large(blobs, size, bucket, large)
+        return
+    head, texts = _plain(blobs)
     order = np.lexsort((head[2], head[1], head[0]))
     data = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum(head[4])
@@ -183,14 +265,16 @@ def _settle(size: int):
 
 def repeated_spans(docs: DataFrame, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The stretches of words to remove: k (key, null as the least long), h (hash of the text), starts and ends (lists; they may overlap)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keyed(docs, key, column)
+    parts = _store.parts_for(docs, column)
     buckets = parts * FINE
+    frequent = frequent_minimisers(keyed, size, parts)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.chunks(batches, "text", CHUNK):
-            yield from _pack(b, size, buckets)
+            yield from _pack(b, size, buckets, frequent)
 
-    shipped = _store.batched(_keyed(docs, key, column)).mapInArrow(pack, _SHIPPED)
+    shipped = _store.batched(keyed).mapInArrow(pack, _SHIPPED)
     dealt = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_settle(size), _SHIPPED)
     return found.groupBy("k", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))

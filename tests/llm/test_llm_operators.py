@@ -217,26 +217,43 @@ def removed(rows, size=20):
     return out
 
 
+@pytest.mark.parametrize("large", [1 << 12, substrings.LARGE])
 @pytest.mark.parametrize("chunk", [1 << 9, 8 << 20])
 @pytest.mark.parametrize("words", [2, 400])
-def test_substrings(spark, monkeypatch, chunk, words):
+def test_substrings(chunk, words, large, monkeypatch):
+    monkeypatch.setattr(substrings._count, "__defaults__", (large,))
     rows = made(9, 120, words)
     random.Random(2).shuffle(rows)
-    buckets, packed = 7, []
-    for b in _text.chunks([pa.record_batch([pa.array([r[0] for r in rows]), pa.array([hash(r[1]) for r in rows]), pa.array([r[1] for r in rows])], ["k", "h", "text"])], "text", chunk):
-        packed += substrings._pack(b, 20, buckets)
-    table = pa.Table.from_batches(packed).sort_by("bucket").combine_chunks()
-    found = defaultdict(list)
-    for b in substrings._settle(20)(table.to_batches()):
-        for k, s, e in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-            found[k] += list(zip(s, e, strict=True))
     want = removed(rows)
-    for i, t in rows:
-        cover = set()
-        for s, e in found[i]:
-            cover |= set(range(s, e))
-        assert len(cover) == want[i][1], t
-    del spark, monkeypatch
+    table = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([hash(r[1]) for r in rows]), pa.array([r[1] for r in rows])], ["k", "h", "text"])
+    w = _text.Words(table.column(2))
+    every = np.unique(substrings._minimisers(w.hashes(), _text.windows(w, w.hashes(), 20)[0], 20))
+    for frequent in (None, every[::2]):
+        packed = [x for b in _text.chunks([table], "text", chunk) for x in substrings._pack(b, 20, 7, frequent)]
+        shipped = pa.Table.from_batches(packed).sort_by("bucket").combine_chunks()
+        found = defaultdict(list)
+        for b in substrings._settle(20)(shipped.to_batches()):
+            for k, s, e in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                found[k] += list(zip(s, e, strict=True))
+        for i, t in rows:
+            cover = set()
+            for s, e in found[i]:
+                cover |= set(range(s, e))
+            assert len(cover) == want[i][1], t
+
+
+def test_a_frequent_minimiser_is_found_and_parted(spark):
+    r = random.Random(1)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, " ".join(x for w in zip(say(120), ["of", "the"] * 60) for x in w)) for k in range(300)]
+    keyed = substrings._keyed(spark.createDataFrame([(k, " ".join(["of the", *say(18)] * 3)) for k in range(3000)] + rows, "doc_id long, text string"), "doc_id", "text")
+    few = substrings.frequent_minimisers(keyed, 20, 4)
+    assert len(few) <= 8
+    b = pa.record_batch([pa.array([k for k, _ in rows]), pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["k", "h", "text"])
+    w = _text.Words(b.column(2))
+    m, n = np.unique(substrings._minimisers(w.hashes(), _text.windows(w, w.hashes(), 20)[0], 20), return_counts=True)
+    whole, parted = (pa.Table.from_batches(list(substrings._pack(b, 20, 64, f))).num_rows for f in (None, np.sort(m[n > n.sum() / 64])))
+    assert parted >= whole
 
 
 def test_substrings_on_spark(spark):
