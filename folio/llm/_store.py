@@ -11,12 +11,16 @@ BATCH = "8m"  # bytes of a batch between Spark and a worker
 PART = 128 << 20  # bytes of text a task of a shuffle is meant to get
 
 
+_made: list[str] = []  # by this driver, and not yet removed
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; where that is unset (tests), under the warehouse folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +39,19 @@ def forget(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._written_to)
 
 
+def release(spark: SparkSession, known: set[str]) -> None:
+    """Remove all that was put into the shared folder since made() gave `known`."""
+    for path in made() - known:
+        remove(spark, path)
+
+
+def made() -> set[str]:
+    return set(_made)
+
+
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _made:
+        _made.remove(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -491,7 +491,7 @@ def build_lexicon(docs: DataFrame, vocab_path: str, column: str = "text", freque
     counts = _store.written(piece_counts(docs, column), "pieces")
     words = [bytes(r[0]) for r in _most_frequent(counts, frequent).select("piece").collect()]
     _store.forget(counts)
-    path = _store.shared_dir(spark, "lexicon") + ".bin"
+    path = _store.shared_dir(spark, "lexicon")
     _store.put(spark, path, Lexicon.dump(words, vocabulary(vocab_path)))  # a few MB
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]

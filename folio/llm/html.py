@@ -38,13 +38,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = frozenset("ul ol dl table select menu body html article section div main".split())
 GOOD_TOKENS = frozenset("article content main post entry story text body page single blog news copy prose hentry".split())
 BAD_TOKENS = frozenset(
-    "nav navbar navigation menu header masthead topbar footer foot bottom sidebar side aside widget rail ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert message comment comments disqus reply replies respond discussion form search login signin subscribe newsletter signup share sharing social related recommended more popular trending breadcrumb breadcrumbs pagination pager tags meta byline author toolbar popup modal overlay hidden copyright legal disclaimer skip".split()
+    "nav navbar navigation menu header masthead topbar footer foot bottom sidebar side aside widget rail ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert message comment comments disqus reply replies respond discussion form search login signin subscribe newsletter signup share sharing social related recommended more popular trending breadcrumb breadcrumbs pagination pager tags meta byline author toolbar popup modal overlay copyright legal disclaimer skip".split()
 )
 TAGS = ("body", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "p", "heading", "table", "other")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_GONE = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
@@ -132,16 +132,20 @@ class Page:
 
     def _add(self, tag: str, parent: int, attrs: str) -> None:
         good = bad = 0
-        if attrs:
-            for _, value in _ATTR.findall(attrs):
+        gone = tag in HIDDEN or self.gone[parent]
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'")
+            if name in ("class", "id", "role"):
                 for token in _PART.findall(value.lower()):
                     good += token in GOOD_TOKENS
                     bad += token in BAD_TOKENS
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+                gone = True
         self.tag.append(tag)
         self.parent.append(parent)
         self.good.append(good)
         self.bad.append(bad)
-        self.gone.append(tag in HIDDEN or self.gone[parent] or bool(attrs and _GONE.search(attrs)))
+        self.gone.append(gone)
         for column in (self.chars, self.linked, self.links, self.stops, self.words):
             column.append(0)
 

@@ -9,12 +9,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import _labels, _text, bpe, decontaminate, html, neardup, quality, rules, substrings, tokens, toxicity, warc
+from folio.llm import _labels, _text, bpe, decontaminate, html, neardup, quality, queries as llm, rules, substrings, tokens, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -681,6 +682,16 @@ def test_attention_gradient_learns_one_bad_passage():
     assert ((m.score(pa.array(texts[80:])) >= 0.5) == np.array(labels[80:], bool)).all()
 
 
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = llm.queries()[name](spark, SF)
+    columns = ", ".join(sorted(df.columns))
+    assert Counter(map(tuple, df.select(*sorted(df.columns)).collect())) == Counter(c.sql(llm.oracle_sql()[name]).select(columns).fetchall())
+
+
 # --- 8: pages -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>
@@ -702,6 +713,15 @@ def test_pages(spark):
     assert html.main_text(pages.limit(0)).isEmpty()
 
 
+def test_attributes_are_told_by_name():
+    body = "has several words of main text, as a paragraph has."
+    shown = ['title="the hidden truth"', 'data-x="a hidden gem"', 'class="x hidden y"', 'data-hidden="1"', "title='display:none'", "aria-hidden=false", "title=hidden", 'alt="a > hidden"']
+    gone = ["hidden", 'hidden=""', "HIDDEN", 'id="k" hidden', "aria-hidden=true", 'aria-hidden="TRUE"', 'style="color:red; display : none"']
+    article = "<article><h1>Head of it</h1>" + "".join(f"<p {a}>{k} {body}</p>" for k, a in enumerate(shown + gone)) + "</article>"
+    (text,) = html.extract([article], html.fitted())
+    assert text.split("\n") == ["Head of it", *(f"{k} {body}" for k in range(len(shown)))]
+
+
 def test_composed_pages_held_out():
     composer, trees = html._Composer(99), html.fitted()
     pages = [html._states(composer.page()) for _ in range(100)]
