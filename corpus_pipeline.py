@@ -2,7 +2,8 @@
 texts that overlap the benchmark go, and what is left is encoded and decoded.
 
 Each stage works on all that its predecessor kept, takes (spark, docs, sf_dir), and all but the last return the columns
-of documents. Empty tables pass through every stage; null and empty texts are kept (as equal texts, one of them).
+of documents. Empty tables pass through every stage; null and empty texts are kept (as equal texts, one of them), and so
+are texts of which no word is left.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words that an earlier text holds in a window of 20; texts with nothing left go, untouched ones keep their bytes."""
+    """Texts without words that an earlier text holds in a window of 20; untouched ones keep their bytes. Every row stays,
+    also one of which no word is left: its text is empty."""
     plain, back = _shielded(docs)
-    done = substrings.remove_repeats(plain).where("n_removed = 0 or n_removed < n_words")
+    done = substrings.remove_repeats(plain)
     cut = F.col("n_removed") > 0
     new = [F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text")]
     left = done.select(*(c for c in plain.columns if c != "text"), *new, cut.alias("__cut")).select(*back, "__cut")
@@ -67,9 +69,14 @@ ORACLE_SQL = None  # a learned grammar, sampling and BPE are beyond SQL; the tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage put into the shared folder goes once its result is written; that of the last one stays, as it is read late."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _store.written(docs, name)
-    return docs
+        known = _store.made()
+        done = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return done
+        before, docs = docs, _store.written(done, name)
+        _store.release(spark, known | {docs._written_to})
+        if k:
+            _store.forget(before)
