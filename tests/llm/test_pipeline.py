@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folio.llm import queries
+from folio.llm import _store, queries
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +14,8 @@ def tables(spark, tmp_path_factory):
     item, passage, base = say(30), say(60), say(200)
     near = base.split()
     near[10] = "changed"
-    rows = [(0, base), (1, " ".join(near)), (2, base), (3, say(100) + " " + passage), (4, say(100) + " " + passage), (5, say(50) + " " + item), (6, say(40) + " idiot " + say(40)), (7, None), (8, ""), (9, say(80)), (10, passage), (11, "short")]
-    rows += [(20 + k, say(50) + (" idiot " if k % 2 else " ") + say(20)) for k in range(40)]
+    rows = [(0, base), (1, " ".join(near)), (2, base), (3, say(100) + " " + passage), (4, say(100) + " " + passage), (5, say(50) + " " + item), (6, say(40) + " you idiot " + say(40)), (7, None), (8, ""), (9, say(80)), (10, passage), (11, "short")]
+    rows += [(20 + k, say(50) + (" you idiot " if k % 2 else " idiom ") + say(20)) for k in range(40)]
     d = tmp_path_factory.mktemp("sf")
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "n_words": F.lit(1), "toxic": F.lit("x")})
     docs.write.parquet(f"file://{d}/documents.parquet")
@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
 def test_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     clean = {20 + k for k in range(0, 40, 2)}
-    gone = [{6, *(20 + k for k in range(1, 40, 2))}, {1, 2, 8}, {10}, {5}]
+    gone = [{6, *(20 + k for k in range(1, 40, 2))}, {1, 2, 8}, set(), {5}]
     left = {r.doc_id for r in docs.collect()}
     for (_, stage), out in zip(corpus_pipeline.STAGES[:4], gone, strict=True):
         after = stage(spark, docs, tables)
@@ -38,8 +38,10 @@ def test_stages(spark, tables):
         assert all(r.toxic == "x" and r.n_words == 1 and (r.text is None or r.n_chars == len(r.text)) for r in rows)
         docs = spark.createDataFrame(rows, docs.schema)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert len(texts[3].split()) == 160 and len(texts[4].split()) == 100 and clean <= set(texts)
+    assert len(texts[3].split()) == 160 and len(texts[4].split()) == 100 and texts[10] == "" and clean <= set(texts)
+    known = _store.made()
     assert {r.doc_id for r in corpus_pipeline.run(spark, tables).collect()} == left
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in _store.made() - known} == {"decontamination", "lexicon"}  # what the last stage reads
 
 
 def test_empty_table_passes(spark, tables):
