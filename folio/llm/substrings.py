@@ -28,6 +28,7 @@ CHUNK = 4 << 20  # bytes of text in which a map task settles repeats itself
 FINE = 16  # buckets for each shuffle partition; one bucket at a time is in memory
 LONG_MER = 8  # words of the runs that part the windows of a frequent minimiser
 SAMPLED = 64  # one in so many documents is looked at for frequent minimisers
+MOST_FREQUENT = 4096  # minimisers that are refined; what more there are is left to the passes over large buckets
 LARGE = 24 << 20  # plain bytes of a bucket that are counted at once
 _ZSTD = pa.Codec("zstd", 5)
 NULL_ID = -(1 << 63)
@@ -74,7 +75,7 @@ def _minimisers(hashes: np.ndarray, at: np.ndarray, size: int, mer: int = MER) -
 
 
 def frequent_minimisers(keyed: DataFrame, size: int, parts: int) -> np.ndarray:
-    """The minimisers (sorted) of more than one in 2 * parts of the windows of a sample of documents; 2 * parts at most."""
+    """The minimisers (sorted) of more than one in 2 * parts of the windows of a sample of documents; MOST_FREQUENT at most."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.chunks(batches, "text", CHUNK):
@@ -83,14 +84,14 @@ def frequent_minimisers(keyed: DataFrame, size: int, parts: int) -> np.ndarray:
             at, _ = _text.windows(words, hashes, size)
             if len(at):
                 m, n = np.unique(_minimisers(hashes, at, size), return_counts=True)
-                yield pa.record_batch([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], ["m", "n"])
+                every = pa.array([None], pa.int64())  # all windows
+                yield pa.record_batch([pa.concat_arrays([pa.array(m.view(np.int64)), every]), pa.array(np.append(n, len(at)))], ["m", "n"])
 
     some = keyed.where(F.pmod(F.xxhash64("k", "h"), F.lit(SAMPLED)) == 0).select("text")
-    counts = _store.written(_store.batched(some).mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")), "minimisers")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = [r[0] for r in counts.where(F.col("n") * (2 * parts) > total).select("m").collect()]
-    _store.forget(counts)
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+    counts = _store.batched(some).mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "m").limit(min(2 * parts, MOST_FREQUENT) + 1).collect()
+    total = next((r.n for r in top if r.m is None), 0)
+    return np.sort(np.array([r.m for r in top if r.m is not None and r.n * 2 * parts > total], np.int64).view(np.uint64))
 
 
 def _pack(batch: pa.RecordBatch, size: int, buckets: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
