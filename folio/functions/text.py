@@ -61,7 +61,10 @@ def fold(text: Column) -> Column:
     source, target, gone = _translation()
     plain = F.translate(F.regexp_replace(text, gone, ""), source + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", target + "abcdefghijklmnopqrstuvwxyz")
     spaced = F.regexp_replace(plain, f"[{WHITE}]+", " ")
-    return F.regexp_replace(spaced, f"^ | $|(?<=[{WIDE_SEARCH}]) | (?=[{WIDE_SEARCH}])", "")
+    any_ = F.regexp_replace(spaced, f"^ | $|(?<=[{WIDE_SEARCH}]) | (?=[{WIDE_SEARCH}])", "")
+    # of Latin letters (but those whose small form is two, and the soft hyphen) the table holds nothing but the small form
+    latin = F.trim(F.regexp_replace(F.lower(text), r"[\t-\r \x85\xA0]+", " "))
+    return F.when(~text.rlike(r"[^\x00-\xAC\xAE-\x{12F}\x{131}-\x{24F}]"), latin).otherwise(any_)
 
 
 def fold_query(query: Column) -> Column:
@@ -199,14 +202,16 @@ def xml_escape(text: Column) -> Column:
 
 
 def column_name(index: Column) -> Column:
-    """A spreadsheet's name of column `index` (from 0), to ZZZ."""
-    a = index.cast("long")
-    letter = lambda v: F.char((v + 65).cast("long"))
-    return (
-        F.when(a < 26, letter(a))
-        .when(a < 702, F.concat(letter(F.floor((a - 26) / 26)), letter((a - 26) % 26)))
-        .otherwise(F.concat(letter(F.floor((a - 702) / 676)), letter(F.floor((a - 702) / 26) % 26), letter((a - 702) % 26)))
-    )
+    """A spreadsheet's name of column `index` (from 0): A to Z, AA and so on, as far as a long goes."""
+    letters = F.sequence(F.lit(1), F.lit(14))  # 26 ** 14 is beyond a long
+    start = F.struct(F.lit("").alias("name"), (index.cast("long") + 1).alias("left"))
+
+    def step(acc: Column, _: Column) -> Column:
+        more = acc["left"] > 0
+        name = F.when(more, F.concat(F.char(((acc["left"] - 1) % 26 + 65).cast("long")), acc["name"])).otherwise(acc["name"])
+        return F.struct(name.alias("name"), F.when(more, F.floor((acc["left"] - 1) / 26).cast("long")).otherwise(acc["left"]).alias("left"))
+
+    return F.when(index >= 0, F.aggregate(letters, start, step, lambda acc: acc["name"]))
 
 
 def font_family(name: Column) -> Column:

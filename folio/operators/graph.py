@@ -11,8 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 256
-
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared checkpoint folder (the warehouse where none is set) and read again."""
@@ -25,8 +23,35 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """node of every node that a path leads to from a root, roots included. edges: src, dst; roots: node. depth: at most so
-    many steps; without it the walk ends where nothing new is found."""
-    known = frontier = settled(roots.select("node").distinct(), "reach")
+    many steps; without it ways of any length are followed to their end.
+
+    A node with one edge into it is reached exactly if that edge's source is, so chains of such nodes are folded onto the
+    node they hang from, in as many rounds as the length of the longest has binary digits; steps are walked among the rest.
+    """
+    start = settled(roots.select("node").distinct(), "reach")
+    if depth is not None:
+        return _walk(edges.select("src", "dst"), start, depth)
+    ways = settled(edges.select("src", "dst").where("src != dst").distinct(), "reach")
+    into = ways.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("at")).where("n = 1")
+    up = settled(into.select(F.col("dst").alias("node"), "at").join(start, "node", "left_anti").withColumn("more", F.lit(True)), "reach")
+    open_ = None
+    while True:
+        next_ = up.select(F.col("node").alias("at"), F.col("at").alias("to"))
+        up = settled(up.drop("more").join(next_, "at", "left").select("node", F.coalesce("to", "at").alias("at"), F.col("to").isNotNull().alias("more")), "reach")
+        left = up.where("more").count()
+        if left in (0, open_):  # what is left hangs from a circle that nothing leads into
+            break
+        open_ = left
+    hung = up.where("not more").select("node", "at")
+    inner = ways.join(up.select(F.col("node").alias("dst")), "dst", "left_anti")
+    inner = inner.join(hung, inner["src"] == hung["node"], "left").select(F.coalesce("at", "src").alias("src"), "dst").distinct()
+    known = _walk(settled(inner, "reach"), start, None)
+    return known.union(hung.join(known.select(F.col("node").alias("at")), "at").select("node"))
+
+
+def _walk(edges: DataFrame, start: DataFrame, depth: int | None) -> DataFrame:
+    """Step by step from the start, until nothing new is found or `depth` steps are done."""
+    known = frontier = start
     steps = 0
     while depth is None or steps < depth:
         steps += 1
@@ -63,12 +88,15 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def inherit(tree: DataFrame, columns: list[str], depth: int = MOST_DEPTH) -> DataFrame:
+def inherit(tree: DataFrame, columns: list[str], depth: int | None = None) -> DataFrame:
     """tree (node, parent, ord, columns) with each column's nearest value on the way up, `level`, and `path` (the places of
-    the way down). A node that is its own ancestor is cut; one listed under two parents comes twice."""
+    the way down). A node that is its own ancestor is cut; one listed under two parents comes twice. depth: levels below
+    the roots that are followed, all without it."""
     level = tree.where("parent is null").select("node", *columns, F.lit(0).alias("level"), F.array(F.col("ord").cast("long")).alias("path"), F.array("node").alias("__up"))
     out = level = settled(level, "inherit")
-    for k in range(1, depth):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         down = tree.alias("c").join(level.alias("p"), F.col("c.parent") == F.col("p.node")).where(~F.array_contains("p.__up", F.col("c.node")))
         level = down.select(F.col("c.node").alias("node"), *(F.coalesce(f"c.{c}", f"p.{c}").alias(c) for c in columns), F.lit(k).alias("level"), F.concat("p.path", F.array(F.col("c.ord").cast("long"))).alias("path"), F.concat("p.__up", F.array("c.node")).alias("__up"))
         level = settled(level, "inherit")
@@ -79,14 +107,17 @@ def inherit(tree: DataFrame, columns: list[str], depth: int = MOST_DEPTH) -> Dat
 
 
 def subtree_counts(flat: DataFrame, file: str, order: str, depth: str) -> DataFrame:
-    """flat preorder rows with `branch_end` (the place after a row's last descendant) and `descendants`."""
+    """flat preorder rows with `branch_end` (the place after a row's last descendant) and `descendants`.
+
+    A row's branch ends where the next row of its depth or less stands: for each depth the place of the last such row seen
+    from behind, so that a row carries as many places as there are depths, not as there are rows."""
     w = Window.partitionBy(file).orderBy(order)
-    rows = flat.withColumn("__at", F.row_number().over(w) - 1)
-    ahead = F.collect_list(F.struct(depth, "__at")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    n = F.count("*").over(Window.partitionBy(file))
-    stop = F.filter(ahead, lambda x: x[depth] <= F.col(depth))
-    end = F.coalesce(F.get(stop, F.lit(0))["__at"], n)
-    return rows.withColumn("branch_end", end.cast("long")).withColumn("descendants", (end - F.col("__at") - 1).cast("long")).drop("__at")
+    rows = flat.withColumn("__at", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(file)))
+    behind = w.rowsBetween(1, Window.unboundedFollowing)
+    depths = sorted(r[0] for r in flat.select(depth).distinct().collect() if r[0] is not None)  # outlines are a few levels deep
+    ends = [F.when(F.col(depth) >= d, F.min(F.when(F.col(depth) == d, F.col("__at"))).over(behind)) for d in depths]
+    end = F.least(F.col("__n"), F.col("__n"), *ends)
+    return rows.withColumn("branch_end", end.cast("long")).withColumn("descendants", (F.col("branch_end") - F.col("__at") - 1).cast("long")).drop("__at", "__n")
 
 
 def newest(versions: DataFrame, by: list[str], order: str, tie: str) -> DataFrame:
@@ -96,7 +127,7 @@ def newest(versions: DataFrame, by: list[str], order: str, tie: str) -> DataFram
 
 
 def duplicate_objects(objects: DataFrame, key: str, body: str) -> DataFrame:
-    """key, keeper: of objects with equal bodies the least key stands for all; digests group them, bodies confirm."""
+    """key, keeper: of objects with equal bodies the least key stands for all; equal is told by a 256-bit digest and the length."""
     marked = objects.select(key, F.sha2(F.col(body).cast("binary"), 256).alias("__d"), F.octet_length(F.col(body).cast("binary")).alias("__n"))
     least = marked.groupBy("__d", "__n").agg(F.min(key).alias("keeper"))
     return marked.join(least, ["__d", "__n"]).select(key, "keeper")
