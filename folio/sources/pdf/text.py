@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 
@@ -49,6 +50,31 @@ class Glyph:
     vertical: bool = False
 
 
+class Span:
+    """What one string shows: signs that run from (x, y) along (dx, dy). at: where each starts, counted along; advance: how
+    far each reaches; spaced: what lies between neighbours beyond their widths, None where it is not one and the same."""
+
+    __slots__ = ("texts", "x", "y", "dx", "dy", "at", "advance", "size", "style", "vertical", "spaced")
+
+    def __init__(self, texts, x, y, dx, dy, at, advance, size, style=0, vertical=False, spaced=None):
+        self.texts, self.x, self.y, self.dx, self.dy, self.at, self.advance = texts, x, y, dx, dy, at, advance
+        self.size, self.style, self.vertical, self.spaced = size, style, vertical, spaced
+
+    @classmethod
+    def of(cls, g: Glyph) -> Span:
+        return cls([g.text], g.x, g.y, g.dx, g.dy, [0.0], [g.advance], g.size, g.style, g.vertical, 0.0)
+
+    def glyphs(self) -> list[Glyph]:
+        return [Glyph(t, self.x + self.dx * a, self.y + self.dy * a, self.dx, self.dy, w, self.size, self.style, self.vertical) for t, a, w in zip(self.texts, self.at, self.advance, strict=True)]
+
+    def singles(self) -> list[Span]:
+        return [self] if len(self.texts) == 1 else [Span.of(g) for g in self.glyphs()]
+
+    @property
+    def end(self) -> float:
+        return self.at[-1] + self.advance[-1]
+
+
 def _codec(encoding: str | None):
     codec = {"MacRomanEncoding": "mac_roman", "WinAnsiEncoding": "cp1252"}.get(encoding or "", "cp1252")
 
@@ -64,6 +90,7 @@ class Font:
     def __init__(self, doc: Document, info: dict):
         get = doc.get
         self.composite = info.get("Subtype") == "Type0"
+        self.table: tuple[list[str], list[float]] | None = None
         base = str(get(info.get("BaseFont")) or "")
         self.name = re.sub(r"^[A-Z]{6}\+", "", base)
         low = self.name.lower()
@@ -121,17 +148,17 @@ class Font:
         if isinstance(descriptor, dict):
             self.default = _number(get(descriptor.get("MissingWidth")), 0) * self.unit or self.default
 
-    def codes(self, raw: bytes):
-        """(characters, width, is the single-byte space) of each code."""
+    def codes(self, raw: bytes) -> tuple[list[str], list[float]]:
+        """The characters and the width of each code."""
         if not self.composite:
-            for c in raw:
-                text = self.unicode.get(c)
-                yield (text if text is not None else self.named.get(c, self.char(c))), self.widths.get(c, self.default), c == 32
-            return
+            if self.table is None:
+                known = {**self.named, **self.unicode}
+                self.table = [known.get(c, None) if c in known else self.char(c) for c in range(256)], [self.widths.get(c, self.default) for c in range(256)]
+            texts, widths = self.table
+            return [texts[c] for c in raw], [widths[c] for c in raw]
         step = 1 if self.code_sizes == {1} else 2
-        for k in range(0, len(raw) - step + 1, step):
-            c = int.from_bytes(raw[k : k + step], "big")
-            yield self.unicode.get(c, ""), self.widths.get(c, self.default), False
+        codes = [int.from_bytes(raw[k : k + step], "big") for k in range(0, len(raw) - step + 1, step)]
+        return [self.unicode.get(c, "") for c in codes], [self.widths.get(c, self.default) for c in codes]
 
 
 def _number(v, otherwise: float) -> float:
@@ -188,15 +215,19 @@ class Interpreter:
     """Runs a page's content and collects glyphs, drawn rules and places of images."""
 
     def __init__(self, doc: Document):
-        self.doc, self.glyphs, self.rules, self.images, self.left = doc, [], [], [], MOST_OPERATORS
+        self.doc, self.spans, self.rules, self.images, self.left, self.room = doc, [], [], [], MOST_OPERATORS, MOST_GLYPHS
         self.fonts: dict[int, Font] = {}
 
-    def page(self, page: dict) -> list[Glyph]:
+    @property
+    def glyphs(self) -> list[Glyph]:
+        return [g for s in self.spans for g in s.glyphs()]
+
+    def page(self, page: dict) -> list[Span]:
         contents = self.doc.get(page.get("Contents"))
         parts = contents if isinstance(contents, list) else [page.get("Contents")]
         data = b"\n".join(self.doc.stream(c) for c in parts if c is not None)
         self.run(data, self.doc.get(page.get("Resources")) or {}, _ONE, 0)
-        return self.glyphs
+        return self.spans
 
     def run(self, data: bytes, resources: dict, ctm, depth: int) -> None:
         get, r = self.doc.get, Reader(data)
@@ -207,7 +238,7 @@ class Interpreter:
         path: list[tuple[float, float, float, float, bool]] = []
         point = start = (0.0, 0.0)
         named = lambda kind, name: get((get(resources.get(kind)) or {}).get(name))
-        while self.left > 0 and len(self.glyphs) < MOST_GLYPHS:
+        while self.left > 0 and self.room > 0:
             try:
                 v = r.value()
             except Bad:
@@ -290,135 +321,176 @@ class Interpreter:
             args = []
 
     def show(self, raw: bytes, state: dict, tm):
+        """Add the span of a string; the text matrix behind it."""
         font, size, scale = state["font"], state["size"], state["scale"]
         if font is None:
             return tm
-        for text, width, space in font.codes(raw):
-            m = _times((size * scale, 0, 0, size, 0, state["rise"]), _times(tm, state["ctm"]))
-            if font.vertical:
-                step = -(size * 1.0) - state["char"]
-                move, along = (0.0, step), (-m[2], -m[3])
-                length = abs(step) / abs(size or 1)
-            else:
-                step = (width * size + state["char"] + (state["word"] if space else 0)) * scale
-                move, along = (step, 0.0), (m[0], m[1])
-                length = width
-            norm = float(np.hypot(*along)) or 1.0
-            if text:
-                self.glyphs.append(Glyph(text, m[4], m[5], along[0] / norm, along[1] / norm, length * norm, float(np.hypot(m[2], m[3])), font.style, font.vertical))
-            tm = _times((1, 0, 0, 1, *move), tm)
-        return tm
+        texts, widths = font.codes(raw)
+        if not texts:
+            return tm
+        m = _times((size * scale, 0, 0, size, 0, state["rise"]), _times(tm, state["ctm"]))
+        spaced: float | None = state["char"]
+        if font.vertical:
+            step = -size - state["char"]
+            steps, reach, along = [step] * len(texts), [abs(step) / abs(size or 1)] * len(texts), (-m[2], -m[3])
+            move = (0.0, step * len(texts))
+            unit = 1 / (abs(size) or 1)
+        else:
+            steps = [(w * size + state["char"]) * scale for w in widths]
+            if state["word"] and not font.composite and 32 in raw:
+                steps = [s + state["word"] * scale * (c == 32) for s, c in zip(steps, raw, strict=True)]
+                spaced = None
+            reach, along = widths, (m[0], m[1])
+            move = (sum(steps), 0.0)
+            unit = 1 / (size * scale or 1)
+        norm = float(np.hypot(*along)) or 1.0
+        k = abs(unit) * norm if font.vertical else unit * norm  # from text space to the length along the line
+        if font.vertical:
+            steps = [abs(s) for s in steps]
+        places = [0.0, *accumulate(s * k for s in steps)][:-1]
+        advance = [w * norm for w in reach]
+        if "" in texts or None in texts:  # codes without characters move on but show nothing
+            shown = [i for i, t in enumerate(texts) if t]
+            texts, places, advance, spaced = [texts[i] for i in shown], [places[i] for i in shown], [advance[i] for i in shown], None
+        if texts:
+            self.room -= len(texts)
+            gap = None if spaced is None else spaced * scale * abs(k) if not font.vertical else 0.0
+            self.spans.append(Span(texts, m[4] + places[0] * along[0] / norm, m[5] + places[0] * along[1] / norm, along[0] / norm, along[1] / norm, [p - places[0] for p in places], advance, float(np.hypot(m[2], m[3])), font.style, font.vertical, gap))
+        return _times((1, 0, 0, 1, *move), tm)
 
 
 def _at(m, x: float, y: float) -> tuple[float, float]:
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
-# --- glyphs to lines ------------------------------------------------------------------------------
-
-#: Fixed values, in font sizes.
-SPACE_GAP, WIDE_GAP, OFF_BASE, REPEAT, BACK = 0.15, 0.8, 0.5, 0.12, 0.5
-PARALLEL, LOOK_AHEAD = 0.98, 16
-
-
-def _gap(a: Glyph, b: Glyph) -> float:
-    return (b.x - a.x) * a.dx + (b.y - a.y) * a.dy - a.advance
-
-
-class _Line:
-    def __init__(self, g: Glyph):
-        self.dx, self.dy, self.size = g.dx, g.dy, g.size
-        self.base = self.across(g)
-        self.runs = [[g]]
-
-    def along(self, g: Glyph) -> float:
-        return g.x * self.dx + g.y * self.dy
-
-    def across(self, g: Glyph) -> float:
-        return g.y * self.dx - g.x * self.dy
-
-    def takes(self, last: Glyph, g: Glyph) -> bool:
-        turn = g.dx * self.dx + g.dy * self.dy
-        off = abs(self.across(g) - self.base)
-        if turn > PARALLEL:
-            return off <= max(OFF_BASE * min(self.size, 1.6 * g.size), 0.05)
-        if abs(turn) < 0.3 and abs(self.dy) > 0.9:  # upright signs set into a column
-            end = self.along(last) + last.advance * (last.dx * self.dx + last.dy * self.dy)
-            return off <= max(self.size, g.size) and end - 0.6 * self.size <= self.along(g) <= end + 2.5 * self.size
-        return False
-
-    def add(self, last: Glyph, g: Glyph) -> None:
-        straight = g.dx * last.dx + g.dy * last.dy > PARALLEL and _gap(last, g) >= -BACK * max(g.size, last.size, 0.01)
-        if straight:
-            self.runs[-1].append(g)
-        else:
-            self.runs.append([g])
-
-    def glyphs(self) -> list[Glyph]:
-        """In order of place, if a run starts well before the one drawn ahead of it; repeats of fake bold left out."""
-        starts = [self.along(r[0]) for r in self.runs]
-        runs = self.runs
-        if any(b < a - BACK * self.size for a, b in zip(starts, starts[1:], strict=False)):
-            runs = [r for _, r in sorted(zip(starts, runs, strict=True), key=lambda p: p[0])]
-        flat = [g for r in runs for g in r]
-        if not any(_gap(a, b) < -REPEAT * max(a.size, b.size) for a, b in zip(flat, flat[1:], strict=False)):
-            return flat
-        drawn = {id(g): k for k, g in enumerate(g for r in self.runs for g in r)}
-        points = sorted((g for g in flat if not g.text[0].isspace()), key=self.along)
-        gone: set[int] = set()
-        for k, g in enumerate(points):
-            for h in points[k + 1 : k + 1 + LOOK_AHEAD]:
-                near = REPEAT * max(g.size, h.size, 0.1)
-                if self.along(h) - self.along(g) > near:
-                    break
-                if g.text == h.text and abs(self.across(h) - self.across(g)) <= near:
-                    gone.add(max(id(g), id(h), key=drawn.__getitem__))
-        return [g for g in flat if id(g) not in gone]
+# --- spans to lines -------------------------------------------------------------------------------
+
+#: Fixed values, in font sizes unless said otherwise: the gap that is a space, and that between wide signs; how far off its
+#: line a sign may stand, signs of how many times its own size counting no larger, and points that always do; how near a
+#: repeat stands; how far back a new run starts; cosines of one direction and of one across it; the room of an upright sign
+#: in a column before and behind the end of the one above; how many signs ahead repeats are looked for.
+SPACE_GAP, WIDE_GAP = 0.15, 0.8
+OFF_BASE, LARGER, OFF_POINTS, REPEAT, BACK = 0.5, 1.6, 0.05, 0.12, 0.5
+SAME_WAY, ACROSS_WAY, UPRIGHT = 0.98, 0.3, 0.9
+ABOVE, BELOW, LOOK_AHEAD = 0.6, 2.5, 16
+
+
+class Line:
+    """Spans on one line, in the order they were drawn. The first one gives the line its direction, base and size."""
+
+    def __init__(self, span: Span):
+        self.dx, self.dy, self.size = span.dx, span.dy, span.size
+        self.base = span.y * span.dx - span.x * span.dy
+        self.spans = [span]
+
+    def _place(self, s: Span) -> tuple[float, float, float]:
+        """Where a span starts along the line, how far off its base, and the cosine between both."""
+        return s.x * self.dx + s.y * self.dy, s.y * self.dx - s.x * self.dy - self.base, s.dx * self.dx + s.dy * self.dy
+
+    def takes(self, s: Span) -> bool:
+        """Whether a span goes on with the line: on its base, or an upright sign set into a column."""
+        along, off, turn = self._place(s)
+        if turn > SAME_WAY:
+            return abs(off) <= max(OFF_BASE * min(self.size, LARGER * s.size), OFF_POINTS)
+        if len(s.texts) > 1 or abs(turn) >= ACROSS_WAY or abs(self.dy) <= UPRIGHT:
+            return False
+        last = self.spans[-1]
+        start, _, cosine = self._place(last)
+        room = along - start - last.end * cosine
+        return abs(off) <= max(self.size, s.size) and -ABOVE * self.size <= room <= BELOW * self.size
+
+    def signs(self) -> dict[str, np.ndarray]:
+        """All signs in order of reading: runs that start well before what was drawn ahead of them are put in their place, and
+        signs drawn twice for a bold look stand once. along, off: their place; cos, sin of their direction; span: whose they are."""
+        many = [len(s.texts) for s in self.spans]
+        own = np.repeat(np.arange(len(many)), many)
+        of = {k: np.array([getattr(s, k) for s in self.spans])[own] for k in ("x", "y", "dx", "dy", "size", "style")}
+        at = np.concatenate([s.at for s in self.spans])
+        v = {
+            "text": np.array([t for s in self.spans for t in s.texts], object), "advance": np.concatenate([s.advance for s in self.spans]), "span": own,
+            "x": of["x"] + of["dx"] * at, "y": of["y"] + of["dy"] * at, "dx": of["dx"], "dy": of["dy"], "size": of["size"], "style": of["style"],
+        }
+        v["along"], v["off"] = v["x"] * self.dx + v["y"] * self.dy, v["y"] * self.dx - v["x"] * self.dy
+        v["drawn"] = np.arange(len(own))
+        parallel, gap, big = _between(v)
+        run = np.concatenate([[0], np.cumsum(~parallel | (gap < -BACK * np.maximum(big, 0.01)))])
+        heads = v["along"][np.searchsorted(run, np.arange(run[-1] + 1))]
+        if (np.diff(heads) < -BACK * self.size).any():
+            order = np.lexsort((v["drawn"], np.argsort(np.argsort(heads, kind="stable"))[run]))
+            v = {k: c[order] for k, c in v.items()}
+            _, gap, big = _between(v)
+        if (gap < -REPEAT * big).any():
+            v = self._once(v)
+        return v
+
+    @staticmethod
+    def _once(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.argsort(v["along"], kind="stable")
+        order = order[[not t[0].isspace() for t in v["text"][order]]]
+        gone = np.zeros(len(v["text"]), bool)
+        for ahead in range(1, LOOK_AHEAD + 1):
+            a, b = order[:-ahead], order[ahead:]
+            near = REPEAT * np.maximum(np.maximum(v["size"][a], v["size"][b]), 0.1)
+            twice = (v["along"][b] - v["along"][a] <= near) & (np.abs(v["off"][b] - v["off"][a]) <= near) & (v["text"][a] == v["text"][b])
+            later = np.where(v["drawn"][a] > v["drawn"][b], a, b)
+            gone[later[twice]] = True
+        return {k: c[~gone] for k, c in v.items()}
 
     def text(self) -> str:
-        out: list[str] = []
-        last = None
-        for g in self.glyphs():
-            if last is not None and not last.text[0].isspace() and not g.text[0].isspace() and last.dx * g.dx + last.dy * g.dy > PARALLEL and not (out and out[-1].endswith(" ")):
-                least = WIDE_GAP if _WIDE.match(last.text) and _WIDE.match(g.text) else SPACE_GAP
-                if _gap(last, g) > least * 0.5 * (last.size + g.size):
-                    out.append(" ")
-            out.append(g.text)
-            last = g
-        return "".join(out).strip(" ")
-
-
-def build_lines(glyphs: list[Glyph]) -> list[_Line]:
+        if len(self.spans) == 1:
+            s = self.spans[0]
+            if s.spaced is not None and -REPEAT * s.size <= s.spaced <= SPACE_GAP * s.size:  # nothing stands between its signs or over them
+                return "".join(s.texts).strip(" ")
+        v = self.signs()
+        parallel, gap, _ = _between(v)
+        blank = np.array([t[0].isspace() for t in v["text"]])
+        behind = np.array([t.endswith(" ") for t in v["text"]])
+        wide = np.array([bool(_WIDE.match(t)) for t in v["text"]])
+        least = np.where(wide[1:] & wide[:-1], WIDE_GAP, SPACE_GAP) * 0.5 * (v["size"][1:] + v["size"][:-1])
+        space = parallel & (gap > least) & ~blank[1:] & ~blank[:-1] & ~behind[:-1]
+        return "".join([(" " if new else "") + t for new, t in zip(np.append(False, space).tolist(), v["text"].tolist(), strict=True)]).strip(" ")
+
+    def pieces(self) -> list[dict]:
+        """Stretches between spaces and changes of style, with their boxes (y grows upwards)."""
+        v = self.signs()
+        _, gap, _ = _between(v)
+        solid = np.array([not t.isspace() for t in v["text"]])
+        cut = np.ones(len(solid), bool)
+        cut[1:] = (gap > SPACE_GAP * 0.5 * (v["size"][1:] + v["size"][:-1])) | (v["style"][1:] != v["style"][:-1]) | ~solid[:-1]
+        heads = np.flatnonzero(cut & solid)
+        other = v["x"] + v["dx"] * v["advance"]
+        low, high = np.minimum(v["x"], other), np.maximum(v["x"], other)
+        out = []
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(solid)], strict=True):
+            part = np.arange(a, b)[solid[a:b]]
+            out.append({"text": "".join(v["text"][part]), "l": float(low[part].min()), "r": float(high[part].max()), "y": float(v["y"][a]), "size": float(v["size"][part].max()), "style": int(v["style"][a])})
+        return out
+
+
+def _between(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sign and the next: whether they run the same way, the gap along the first, and the larger size."""
+    a = {k: v[k][:-1] for k in ("x", "y", "dx", "dy", "advance", "size")}
+    b = {k: v[k][1:] for k in ("x", "y", "dx", "dy", "size")}
+    gap = (b["x"] - a["x"]) * a["dx"] + (b["y"] - a["y"]) * a["dy"] - a["advance"]
+    return a["dx"] * b["dx"] + a["dy"] * b["dy"] > SAME_WAY, gap, np.maximum(a["size"], b["size"])
+
+
+def build_lines(spans: list[Span | Glyph]) -> list[Line]:
     """Lines in drawing order."""
-    lines: list[_Line] = []
-    last = None
-    for g in glyphs:
-        if last is not None and lines[-1].takes(last, g):
-            lines[-1].add(last, g)
+    lines: list[Line] = []
+    for s in (Span.of(s) if isinstance(s, Glyph) else s for s in spans):
+        if lines and lines[-1].takes(s):
+            lines[-1].spans.append(s)
+        elif lines and len(s.texts) > 1 and lines[-1].takes(s.singles()[0]):  # signs set into a column, one by one
+            for one in s.singles():
+                if lines[-1].takes(one):
+                    lines[-1].spans.append(one)
+                else:
+                    lines.append(Line(one))
         else:
-            lines.append(_Line(g))
-        last = g
+            lines.append(Line(s))
     return lines
 
 
-def page_lines(glyphs: list[Glyph]) -> list[str]:
-    return [t for t in (line.text() for line in build_lines(glyphs)) if t]
-
-
-def line_pieces(line: _Line) -> list[dict]:
-    """Stretches of a line between spaces and style changes, with their boxes (y grows upwards)."""
-    out: list[dict] = []
-    last = None
-    for g in line.glyphs():
-        if g.text.isspace():
-            last = None
-            continue
-        x0, x1 = sorted((g.x, g.x + g.dx * g.advance))
-        gap = last is not None and _gap(last, g) > SPACE_GAP * 0.5 * (last.size + g.size)
-        if last is None or gap or out[-1]["style"] != g.style:
-            out.append({"text": "", "l": x0, "r": x1, "y": g.y, "size": g.size, "style": g.style})
-        p = out[-1]
-        p["text"] += g.text
-        p["l"], p["r"], p["size"] = min(p["l"], x0), max(p["r"], x1), max(p["size"], g.size)
-        last = g
-    return out
+def page_lines(spans: list[Span | Glyph]) -> list[str]:
+    return [t for t in (line.text() for line in build_lines(spans)) if t]
