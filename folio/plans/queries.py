@@ -30,21 +30,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _inline(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    def lit(v) -> str:
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return str(v).lower()
-        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-
-    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns})"
-
-
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -57,30 +42,29 @@ def pii_bankcard_by_lang(spark, d):
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query()
+@query("""with r as (select doc_id, text, regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*') m, regexp_split_to_array(text, '[0-9](?:[ -]?[0-9])*') s from documents),
+g as (select *, list_transform(m, lambda x: regexp_split_to_array(x, '[ -]')) gs from r),
+k as (select *, list_transform(gs, lambda a: list_filter(range(1, len(a) + 1), lambda i: length(array_to_string(a[i:], '')) between 16 and 19)[1]) ks from g),
+n as (select doc_id, text, s, list_transform(range(1, len(m) + 1), lambda i: case when ks[i] is null then m[i] else substr(m[i], 1, cast(length(array_to_string(gs[i][1 : ks[i] - 1], '')) + ks[i] - 1 as int)) || '█' end) x from k)
+select doc_id, array_to_string(list_transform(range(1, len(s) + 1), lambda i: s[i] || coalesce(x[i], '')), '') as text from n where len(list_filter(x, lambda v: ends_with(v, '█'))) > 0""")
 def pii_redacted_text(spark, d):
     masked = T.mask_numbers(F.col("text"), "bank-card")
     return _t(spark, d, "documents").where(F.col("text") != masked).select("doc_id", masked.alias("text"))
 
 
-PII = [
-    ("号码 11010519491231002X 和 110105194912310021, 1101051949123100212 不是", "id-card", "11010519491231002x|110105194912310021"),
-    ("010105194912310021 11010519491x310021", "id-card", ""),
-    ("13812345678, 19987654321 12345678901 138123456789", "phone", "13812345678|19987654321"),
-    ("卡 6222 0200 1234 5678 901 ，另 6222-0200-1234-5678 和 123456789012345 以及 12345678901234567890", "bank-card", "6222 0200 1234 5678 901|6222-0200-1234-5678"),
-    ("12 6222 0200 1234 5678 901", "bank-card", "6222 0200 1234 5678 901"),
-]
+_NUMBERS = """select c_custkey, '1' || (3 + c_custkey % 7) || lpad(cast(c_custkey * 7919 % 1000000000 as {s}), 9, '0') phone,
+  (1 + c_custkey % 9) || lpad(cast(c_custkey * 104729 % 10000000000000000 as {s}), 16, '0') || case when c_custkey % 11 = 10 and c_custkey % 5 = 0 then 'X' else cast(c_custkey % 10 as {s}) end id from {t}"""
 
 
-@query(_values([(k, p, f) for k, (_, p, f) in enumerate(PII)], "id, preset, found"))
+@query(f"""with n as ({_NUMBERS.format(s='varchar', t='customer')})
+select c_custkey, case when c_custkey % 4 in (1, 2) then '' else phone end phones, case when c_custkey % 5 in (1, 2) then '' else lower(id) end ids from n""")
 def pii_presets(spark, d):
-    rows = spark.createDataFrame([(k, t, p) for k, (t, p, _) in enumerate(PII)], "id int, t string, preset string")
-    found = None
-    for p in T.PRESETS:
-        here = F.col("preset") == p
-        one = F.array_join(T.personal_numbers(T.fold(F.col("t")), p), "|")
-        found = F.when(here, one) if found is None else found.when(here, one)
-    return rows.select("id", "preset", found.alias("found"))
+    _t(spark, d, "customer").createOrReplaceTempView("__customers")
+    n = spark.sql(_NUMBERS.format(s="string", t="__customers"))
+    glued = lambda digit, mod, k: F.when(F.col("c_custkey") % mod == k, digit).otherwise("")
+    text = F.concat(F.lit("Tel "), glued("7", 4, 1), "phone", glued("7", 4, 2), F.lit("; Id "), glued("5", 5, 1), "id", glued("5", 5, 2), F.lit("."))
+    found = lambda preset: F.array_join(T.personal_numbers(T.fold(text), preset), "|")
+    return n.select("c_custkey", found("phone").alias("phones"), found("id-card").alias("ids"))
 
 
 @query(r"""with f as (select doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) t from documents)
@@ -112,33 +96,40 @@ def line_explode(spark, d):
     return structure.lines(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "line_no", F.md5("line").alias("digest"))
 
 
-MARKS = [
-    ("• item", "bullet", "•", None, 2), ("- item", "bullet", "•", None, 2), ("1. item", "number", "dot", 1, 3), ("12) item", "number", "paren", 12, 4),
-    ("(3) item", "number", "round", 3, 4), ("2． item", "number", "dot-wide", 2, 3), ("（4） item", "number", "round-wide", 4, 4), ("5） item", "number", "paren-wide", 5, 3),
-    ("(4） item", None, None, None, None), ("（4）项目", None, None, None, None), ("3.5 apples", None, None, None, None), ("2024 was", None, None, None, None),
-    ("-5 degrees", None, None, None, None), ("•", None, None, None, None), ("1.  two spaces", "number", "dot", 1, 4),
-]
+_LINES = """select p_partkey, p_partkey % 12 v, cast(p_partkey % 1000 as {s}) n, cast(p_partkey % 1000 as int) k, repeat(' ', cast(1 + p_partkey % 3 as int)) sp, p_name name from {t}"""
 
 
-@query(_values([(k, *m[1:]) for k, m in enumerate(MARKS)], "id, kind, mark, number, length"))
+@query(f"""with l as ({_LINES.format(s='varchar', t='part')})
+select p_partkey, case when v in (0, 1, 2) then 'bullet' when v in (3, 10, 11) then null else 'number' end kind,
+case v when 0 then '▪' when 1 then '✓' when 2 then '•' when 4 then 'dot' when 5 then 'paren' when 6 then 'round' when 7 then 'dot-wide' when 8 then 'paren-wide' when 9 then 'round-wide' end mark,
+case when v between 4 and 9 then k end as number, cast(case when v in (0, 2) then 1 + length(sp) when v = 1 then 1 when v in (4, 5, 7, 8) then length(n) + 1 + length(sp) when v in (6, 9) then length(n) + 2 + length(sp) end as int) as length from l""")
 def list_marks(spark, d):
-    return _inline(spark, [m[0] for m in MARKS]).select("id", T.list_mark(F.col("t")).alias("m")).select("id", "m.kind", "m.mark", "m.number", "m.length")
+    _t(spark, d, "part").createOrReplaceTempView("__parts")
+    line = spark.sql(_LINES.format(s="string", t="__parts"))
+    form = ["concat('▪', sp, name)", "concat('✓', name)", "concat('–', sp, name)", "concat('–', name)", "concat(n, '.', sp, name)", "concat(n, ')', sp, name)", "concat('(', n, ')', sp, name)", "concat(n, '．', sp, name)"]
+    form += ["concat(n, '）', sp, name)", "concat('（', n, '）', sp, name)", "concat(n, '.', name)", "concat(cast(k + 1000 as string), '.', sp, name)"]
+    text = F.expr("case v " + " ".join(f"when {k} then {f}" for k, f in enumerate(form)) + " end")
+    return line.select("p_partkey", T.list_mark(text).alias("m")).select("p_partkey", "m.kind", "m.mark", "m.number", "m.length")
 
 
-NUMBERS = [*((t, True) for t in ("12", "- 3 -", "Page 4", "Page 4 of 10", "第 5 页", "共 10 页", "iv", "— 7 —", "12 / 30")), *((t, False) for t in ("Introduction", "2024 Annual Report", "Table 1", "Chapter 2", ""))]
-
-
-@query(_values([(k, y) for k, (_, y) in enumerate(NUMBERS)], "id, is_number"))
+@query("""with o as (select o_orderkey, o_orderkey % 8 v, length(cast(o_orderkey as varchar)) n, length(cast(o_orderkey + 9 as varchar)) m, 1 + o_orderkey // 8 % 8 x from orders)
+select o_orderkey, case v when 1 then n + m <= 6 when 3 then false when 5 then x <= 6 when 6 then false when 7 then false else n <= 6 end is_number from o""")
 def page_number_test(spark, d):
-    return _inline(spark, [t for t, _ in NUMBERS]).select("id", T.is_page_number(F.col("t")).alias("is_number"))
-
-
-JOINS = [("compu-|tation goes", "computation goes"), ("这是第一行|接着第二行", "这是第一行接着第二行"), ("two|words", "two words"), ("A-|b", "A- b"), ("|alone", "alone")]
+    forms = ["concat('Page ', k)", "concat(k, ' of ', cast(o_orderkey + 9 as string))", "concat('- ', k, ' -')", "concat('Order ', k)", "concat('第', k, '页')", "repeat('x', cast(1 + floor(o_orderkey / 8) % 8 as int))", "concat(k, '/iv')", "concat(o_orderstatus, ' ', k)"]
+    text = F.expr("case o_orderkey % 8 " + " ".join(f"when {k} then {f}" for k, f in enumerate(forms)) + " end")
+    return _t(spark, d, "orders").withColumn("k", F.col("o_orderkey").cast("string")).select("o_orderkey", T.is_page_number(text).alias("is_number"))
 
 
-@query(_values([(k, j) for k, (_, j) in enumerate(JOINS)], "id, joined"))
+@query("""with w as (select p_partkey, string_split(p_name, ' ')[1] a, string_split(p_name, ' ')[2] b from part)
+select p_partkey, case p_partkey % 5 when 0 then a || b when 1 then a || ' ' || b when 2 then upper(a) || '- ' || b when 3 then a || '- ' || upper(b) else a || ' ' || b || '。' || a end joined from w""")
 def dehyphenate(spark, d):
-    return _inline(spark, [t for t, _ in JOINS]).select("id", T.join_lines(F.split("t", r"\|")).alias("joined"))
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    hyphen = lambda v: F.concat(v, F.lit("-"))
+    forms = [F.array(hyphen(a), b), F.array(a, b), F.array(hyphen(F.upper(a)), b), F.array(hyphen(a), F.upper(b)), F.array(F.lit(""), a, F.lit(""), F.concat(b, F.lit("。")), a)]
+    lines = forms[4]
+    for k in range(4):
+        lines = F.when(F.col("p_partkey") % 5 == k, forms[k]).otherwise(lines)
+    return _t(spark, d, "part").select("p_partkey", T.join_lines(lines).alias("joined"))
 
 
 @query("""select page_id, url as safe from pages where regexp_matches(url, '^(?i:https?)://[^/?#@]') and not regexp_matches(url, '[^!-~]|["<>\\\\^`{|}]') and not regexp_matches(url, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')""")
@@ -153,9 +144,10 @@ def xml_escaped(spark, d):
 
 @query("""select p_partkey, case when p_partkey < 26 then chr(cast(65 + p_partkey as int))
 when p_partkey < 702 then chr(cast(65 + (p_partkey - 26) // 26 as int)) || chr(cast(65 + (p_partkey - 26) % 26 as int))
-else chr(cast(65 + (p_partkey - 702) // 676 as int)) || chr(cast(65 + (p_partkey - 702) // 26 % 26 as int)) || chr(cast(65 + (p_partkey - 702) % 26 as int)) end as name from part where p_partkey < 18278""")
+when p_partkey < 18278 then chr(cast(65 + (p_partkey - 702) // 676 as int)) || chr(cast(65 + (p_partkey - 702) // 26 % 26 as int)) || chr(cast(65 + (p_partkey - 702) % 26 as int))
+else chr(cast(65 + (p_partkey - 18278) // 17576 as int)) || chr(cast(65 + (p_partkey - 18278) // 676 % 26 as int)) || chr(cast(65 + (p_partkey - 18278) // 26 % 26 as int)) || chr(cast(65 + (p_partkey - 18278) % 26 as int)) end as name from part""")
 def column_names(spark, d):
-    return _t(spark, d, "part").where("p_partkey < 18278").select("p_partkey", T.column_name(F.col("p_partkey")).alias("name"))
+    return _t(spark, d, "part").select("p_partkey", T.column_name(F.col("p_partkey")).alias("name"))
 
 
 @query("select doc_id, cast(length(text) as bigint) width from documents")
@@ -163,32 +155,35 @@ def display_widths(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.display_width(F.col("text")).alias("width"))
 
 
-NAMES = [("C:\\a\\b.tar.pdf", "ABCDEF+Arial", "{page}/{pages} {file}", "b.tar", "Arial", "3/9 {page}.pdf"), ("x/.hidden", "ABCDE+Ari", "{date}", ".hidden", "ABCDE+Ari", "2024-05-01"), ("plain", "Courier", "none", "plain", "Courier", "none")]
-
-
-@query(_values([(k, *n[3:]) for k, n in enumerate(NAMES)], "id, stem, family, header"))
+@query("""select p_partkey, case p_partkey % 3 when 0 then p_name || '.v' || p_partkey when 1 then '.' || p_type else p_name end stem, p_type family,
+p_partkey % 50 || '/50 2024-05-01 {page}-' || p_name as header from part""")
 def name_functions(spark, d):
-    rows = spark.createDataFrame([(k, *n[:3]) for k, n in enumerate(NAMES)], "id int, file string, font string, template string")
-    header = T.expand_template(F.col("template"), F.lit(3), F.lit(9), F.lit("2024-05-01"), F.lit("{page}.pdf"))
-    return rows.select("id", T.file_stem(F.col("file")).alias("stem"), T.font_family(F.col("font")).alias("family"), header.alias("header"))
+    key = F.col("p_partkey")
+    file = F.when(key % 3 == 0, F.concat(F.lit("C:\\dir.d\\"), "p_name", F.lit(".v"), key, F.lit(".pdf"))).when(key % 3 == 1, F.concat(F.lit("x.y/."), "p_type")).otherwise(F.concat("p_name", F.lit(".tar")))
+    header = T.expand_template(F.lit("{page}/{pages} {date} {file}"), key % 50, F.lit(50), F.lit("2024-05-01"), F.concat(F.lit("{page}-"), "p_name"))
+    return _t(spark, d, "part").select("p_partkey", T.file_stem(file).alias("stem"), T.font_family(F.concat(F.lit("QWERTY+"), "p_type")).alias("family"), header.alias("header"))
 
 
 # --- typed values ---------------------------------------------------------------------------------
 
-CELLS = [
-    ("12", "number", 12.0, "0"), ("-12", "number", -12.0, "0"), ("1,234.50", "number", 1234.5, "#,##0.00"), ("(12.00)", "number", -12.0, "0.00_);(0.00)"),
-    ("1,234.00-", "number", -1234.0, "#,##0.00"), ("12.5%", "number", 0.125, "0.0%"), ("¥1,234.50", "number", 1234.5, '"¥"#,##0.00'), ("-$12", "number", -12.0, '"$"0'),
-    ("$-12", "number", -12.0, '"$"0'), ("￥ 99", "number", 99.0, '"¥"0'), ("(12)", "weak", -12.0, "0_);(0)"), ("3-", "weak", -3.0, "0"), ("¥3-", "number", -3.0, '"¥"0'),
-    ("2024-05-01", "number", 45413.0, "yyyy-mm-dd"), ("2024/5/1", "number", 45413.0, "yyyy/m/d"), ("2024.05.01", "number", 45413.0, "yyyy.mm.dd"),
-    ("2024年5月1日", "number", 45413.0, 'yyyy"年"m"月"d"日"'), ("2024 年 4 月 19 日", "number", 45401.0, 'yyyy"年"mm"月"dd"日"'), ("1900-03-01", "number", 61.0, "yyyy-mm-dd"),
-    ("2024-05-01 12:00", "number", 45413.5, "yyyy-mm-dd hh:mm"), ("2024-05-01T06:00:00", "number", 45413.25, "yyyy-mm-dd hh:mm:ss"),
-    *((t, "text", None, None) for t in ("310101199001011234", "13812345678", "1234567890", "007", "00.5", "1,23", "0,123", "12,345,6", "1.2.3", "3-5", "1e5", ".5", "5.", "--5", "(-5)", "-", "N/A", "2024-13-01", "2024-02-30", "1900-02-28", "12:30", "", "１２３", "2024 -05-01")),
-]
-
-
-@query(_values([(k, *c[1:]) for k, c in enumerate(CELLS)], "id, kind, num, fmt").replace("select *", "select id, kind, cast(num as double) num, fmt"))
+@query("""with o as (select o_orderkey, o_orderkey % 12 v, round(o_totalprice, 2) p, cast(o_orderdate as date) d, o_orderkey % 1000 + 1 n, case when o_totalprice < 999.995 then '0.00' else '#,##0.00' end f,
+  cast(date_diff('day', date '1899-12-30', cast(o_orderdate as date)) as double) s, case when month(o_orderdate) >= 10 or day(o_orderdate) >= 10 then 'mm' else 'm' end mm from orders)
+select o_orderkey, case when v in (6, 10, 11) then 'text' when v = 4 then 'weak' else 'number' end kind,
+case v when 0 then -p when 1 then p when 2 then (o_orderkey % 100) / 100.0 when 3 then -p when 4 then -n when 5 then -n when 7 then s when 8 then s when 9 then s + (o_orderkey % 24 * 3600 + o_orderkey % 60 * 60) / 86400.0 end num,
+case v when 0 then '0.00_);(0.00)' when 1 then '"¥"' || f when 2 then '0%' when 3 then '0.00' when 4 then '0_);(0)' when 5 then '"$"0' when 7 then 'yyyy/mm/dd' when 8 then 'yyyy"年"' || mm || '"月"' || replace(mm, 'm', 'd') || '"日"' when 9 then 'yyyy-mm-dd hh:mm' end fmt from o""")
 def typed_cells(spark, d):
-    return _inline(spark, [c[0] for c in CELLS]).select("id", V.detect(F.col("t")).alias("v")).select("id", "v.kind", "v.num", "v.fmt")
+    day = F.col("o_orderdate")
+    n, two = (F.col("o_orderkey") % 1000 + 1).cast("string"), lambda m: F.lpad((F.col("o_orderkey") % m).cast("string"), 2, "0")
+    price, commas = F.format_string("%.2f", "o_totalprice"), F.format_string("%,.2f", "o_totalprice")
+    forms = [
+        F.concat(F.lit("("), price, F.lit(")")), F.concat(F.lit("¥ "), commas), F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("%")), F.concat(price, F.lit("-")), F.concat(F.lit("("), n, F.lit(")")), F.concat(F.lit(" -$"), n),
+        F.concat(F.lit("0"), n), F.date_format(day, "yyyy/MM/dd"), F.concat(F.year(day), F.lit("年"), F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日 ")), F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), F.concat_ws(":", two(24), two(60))),
+        F.concat_ws("/", n, n), F.format_string("%d", F.col("o_orderkey") + 10_000_000_000),
+    ]
+    text = forms[-1]
+    for k in range(11):
+        text = F.when(F.col("o_orderkey") % 12 == k, forms[k]).otherwise(text)
+    return _t(spark, d, "orders").select("o_orderkey", V.detect(text).alias("v")).select("o_orderkey", "v.kind", "v.num", "v.fmt")
 
 
 @query("select o_orderkey, 'number' kind, round(o_totalprice, 2) num, case when o_totalprice < 999.995 then '0.00' else '#,##0.00' end fmt from orders")
@@ -203,14 +198,15 @@ def date_serials(spark, d):
     return o.select("o_orderkey", V.date_serial(F.col("o_orderdate")).alias("serial"), typed.alias("typed"))
 
 
-# days go on past a month's end
-PDF_DATES = [("D:20240501103000+08'00'", 1714530600, 480), ("D:2024", 1704067200, None), ("D:20240231", 1709337600, None), ("D:20240501120000Z", 1714564800, 0), ("x", None, None)]
-
-
-@query(_values([(k, *r[1:]) for k, r in enumerate(PDF_DATES)], "id, at_second, minutes").replace("select *", "select id, cast(at_second as bigint) at_second, minutes"))
+@query("""with o as (select o_orderkey, case when o_orderkey % 5 = 4 then epoch(date_trunc('year', o_orderdate)) else epoch(o_orderdate) + o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 end s,
+  case when o_orderkey % 5 = 4 then null when o_orderkey % 3 = 0 then 0 else (o_orderkey % 13 * 60 + o_orderkey % 4 * 15) * case when o_orderkey % 3 = 2 then -1 else 1 end end z from orders)
+select o_orderkey, cast(s - coalesce(z, 0) * 60 as bigint) at_second, cast(z as int) as minutes from o""")
 def file_dates(spark, d):
-    rows = _inline(spark, [r[0] for r in PDF_DATES]).select("id", V.pdf_date(F.col("t")).alias("v"))
-    return rows.select("id", F.unix_timestamp("v.at").alias("at_second"), F.col("v.offset").alias("minutes"))
+    key, two = F.col("o_orderkey"), lambda v: F.lpad(v.cast("string"), 2, "0")
+    zone = F.when(key % 3 == 0, "Z").otherwise(F.concat(F.when(key % 3 == 1, "+").otherwise("-"), two(key % 13), F.lit("'"), two(key % 4 * 15), F.lit("'")))
+    whole = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), two(key % 24), two(key % 60), F.lit("00"), zone)
+    text = F.when(key % 5 == 4, F.concat(F.lit("D:"), F.year("o_orderdate"))).otherwise(whole)
+    return _t(spark, d, "orders").select("o_orderkey", V.pdf_date(text).alias("v")).select("o_orderkey", F.unix_timestamp("v.at").alias("at_second"), F.col("v.offset").alias("minutes"))
 
 
 # --- document structure ---------------------------------------------------------------------------
@@ -265,13 +261,17 @@ def heading_levels(spark, d):
     return structure.headings(p, "p_brand", body).select("p_partkey", "level")
 
 
-LISTS = ["1. a", "2. b", "7. alone", "• dot", "text", "(3) x", "(4) y"]
+_ITEMS = "select p_brand, p_partkey, (row_number() over (partition by p_brand order by p_partkey) + case when p_partkey % 5 = 0 then 50 else 0 end) % 900 n, p_name from {t}"
 
 
-@query(_values([(0, "number", 1), (1, "number", 2), (2, None, None), (3, "bullet", None), (4, None, None), (5, "number", 3), (6, "number", 4)], "id, kind, number"))
+@query(f"""with i as ({_ITEMS.format(t='part')}), m as (select *, case when p_partkey % 7 > 1 then n end k from i),
+w as (select *, lag(k) over (partition by p_brand order by p_partkey) a, lead(k) over (partition by p_brand order by p_partkey) b from m)
+select p_partkey, case when p_partkey % 7 = 0 then 'bullet' when a = k - 1 or b = k + 1 then 'number' end kind, cast(case when a = k - 1 or b = k + 1 then k end as int) as number from w""")
 def confirmed_lists(spark, d):
-    rows = structure.confirmed_lists(_inline(spark, LISTS).withColumn("file", F.lit(0)), "file", "id", "t")
-    return rows.select("id", "mark.kind", "mark.number")
+    _t(spark, d, "part").createOrReplaceTempView("__parts")
+    text = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("• "), "p_name")).when(F.col("p_partkey") % 7 == 1, F.col("p_name")).otherwise(F.concat(F.col("n").cast("string"), F.lit(". "), "p_name"))
+    rows = structure.confirmed_lists(spark.sql(_ITEMS.format(t="__parts")).withColumn("t", text), "p_brand", "p_partkey", "t")
+    return rows.select("p_partkey", "mark.kind", "mark.number")
 
 
 @query("""with x as (select r_regionkey, 0 depth, r_name title, -1 k from region union all select n_regionkey, 1, n_name, n_nationkey from nation),
@@ -302,39 +302,35 @@ def shared_strings(spark, d):
     return structure.shared_strings(_t(spark, d, "customer"), "c_custkey", "c_mktsegment")
 
 
-@query("""with b as (select p_partkey, substring(p_type || ' / ' || p_brand, 1, 40) t from part), n as (select p_partkey, substring(replace(t, '/', '_'), 1, 31) base from b),
+@query("""with b as (select p_partkey, p_type || ' / ' || p_brand || ' ' || p_name t from part), n as (select p_partkey, substring(replace(t, '/', '_'), 1, 31) base from b),
 k as (select *, row_number() over (partition by lower(base) order by p_partkey) k from n)
 select p_partkey, case when k = 1 then base else substring(base, 1, cast(31 - length('(' || k || ')') as int)) || '(' || k || ')' end as sheet from k""")
 def sheet_names(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", F.substring(F.concat("p_type", F.lit(" / "), "p_brand"), 1, 40).alias("t"))
+    p = _t(spark, d, "part").select("p_partkey", F.concat("p_type", F.lit(" / "), "p_brand", F.lit(" "), "p_name").alias("t"))
     return structure.sheet_names(p, "p_partkey", "t").select("p_partkey", "sheet")
 
 
 # --- page sets ------------------------------------------------------------------------------------
 
-_PAGES = "select o_custkey as path, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) page_no, cast(o_orderkey % 4 * 90 as int) as rotate from orders"
+_PAGES = "select o_custkey % 64 as path, o_orderkey, row_number() over (partition by o_custkey % 64 order by o_orderkey) page_no, cast(o_orderkey % 4 * 90 as int) as rotate from orders"
 
 
 def _pages(spark, d) -> DataFrame:
     o = _t(spark, d, "orders")
-    return o.select(F.col("o_custkey").alias("path"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_no"), (F.col("o_orderkey") % 4 * 90).cast("int").alias("rotate"))
+    return o.select((F.col("o_custkey") % 64).alias("path"), "o_orderkey", F.row_number().over(Window.partitionBy(F.col("o_custkey") % 64).orderBy("o_orderkey")).alias("page_no"), (F.col("o_orderkey") % 4 * 90).cast("int").alias("rotate"))
 
 
-@query(f"""with p as ({_PAGES}), c as (select path, max(page_no) n from p group by 1 having max(page_no) >= 3),
+@query(f"""with p as ({_PAGES}), c as (select path, max(page_no) n from p group by 1),
 w as (select path, unnest([2, 3, 1, 1] || range(2, n + 1)) page_no, unnest(range(1, n + 4)) out_no from c)
 select path, page_no, o_orderkey, cast(out_no as int) out_no from w join p using (path, page_no)""")
 def page_ranges(spark, d):
-    p = _pages(spark, d)
-    enough = p.groupBy("path").agg(F.max("page_no").alias("n")).where("n >= 3").select("path")
-    return pages.extract(p.join(enough, "path", "left_semi"), "2-3,1,1,2-").select("path", "page_no", "o_orderkey", "out_no")
+    return pages.extract(_pages(spark, d), "2-3,1,1,2-").select("path", "page_no", "o_orderkey", "out_no")
 
 
-@query(f"""with p as ({_PAGES}), c as (select path from p group by 1 having max(page_no) >= 3)
-select path, o_orderkey, cast(row_number() over (partition by path order by page_no) as int) out_no from p join c using (path) where page_no not in (1, 3)""")
+@query(f"""with p as ({_PAGES})
+select path, o_orderkey, cast(row_number() over (partition by path order by page_no) as int) out_no from p where page_no not in (1, 3)""")
 def delete_pages(spark, d):
-    p = _pages(spark, d)
-    enough = p.groupBy("path").agg(F.max("page_no").alias("n")).where("n >= 3").select("path")
-    return pages.delete(p.join(enough, "path", "left_semi"), "1,3").select("path", "o_orderkey", "out_no")
+    return pages.delete(_pages(spark, d), "1,3").select("path", "o_orderkey", "out_no")
 
 
 @query("""with x as (select 0 file_ord, n_nationkey page_no, n_name as name from nation union all select 1, r_regionkey, r_name from region)
@@ -355,9 +351,9 @@ def split_chunks(spark, d):
     return pages.split_every(_pages(spark, d), 4).select("path", "o_orderkey", "chunk", "out_no")
 
 
-@query("""select p_partkey, cast(case when p_size % 2 = 1 then 100 else least(200, 20 + p_size * 8) - p_size end as double) width, cast(case when p_size % 2 = 1 then least(200, 20 + p_size * 8) - p_size else 100 end as double) height from part where p_size < 25""")
+@query("""select p_partkey, cast(case when p_size % 2 = 1 then 100 else least(200, 20 + p_size * 8) - p_size end as double) width, cast(case when p_size % 2 = 1 then least(200, 20 + p_size * 8) - p_size else 100 end as double) height from part""")
 def shown_sizes(spark, d):
-    p = _t(spark, d, "part").where("p_size < 25")
+    p = _t(spark, d, "part")
     media, crop = F.array(F.lit(0.0), F.lit(0.0), F.lit(200.0), F.lit(100.0)), F.array(F.col("p_size").cast("double"), F.lit(-5.0), F.lit(20.0) + F.col("p_size") * 8, F.lit(300.0))
     return p.select("p_partkey", pages.shown_size(pages.visible_box(media, crop), F.col("p_size") % 2 * 90).alias("s")).select("p_partkey", "s.width", "s.height")
 
@@ -423,20 +419,24 @@ def spatial_first_container(spark, d):
     return geometry.first_container(p, b, ["page"], "p_partkey").select("l_orderkey", "l_linenumber", "p_partkey")
 
 
-@query("""with recursive v as (select cast(l_suppkey % 7 as bigint) g, l_quantity * 3 + l_discount * 20 x from lineitem where l_linenumber = 7),
+@query("""with recursive v as (select cast(l_suppkey % 7 as bigint) g, l_quantity * 3 + l_discount * 20 x from lineitem),
 k(g, x) as (select g, min(x) from v group by g union all select g, x from (select k.g, min(v.x) x from k join v on v.g = k.g and v.x - k.x > 2.0 group by k.g, k.x))
 select g, cast(count(*) as int) n, round(sum(x), 4) total from (select distinct g, x from k) group by g""")
 def edge_cluster(spark, d):
-    v = _t(spark, d, "lineitem").where("l_linenumber = 7").select((F.col("l_suppkey") % 7).alias("g"), (F.col("l_quantity") * 3 + F.col("l_discount") * 20).alias("x"))
+    v = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("g"), (F.col("l_quantity") * 3 + F.col("l_discount") * 20).alias("x"))
     kept = geometry.cluster_edges(F.array_distinct(F.collect_list("x")))
     rows = v.groupBy("g").agg(kept.alias("e"))
     return rows.select("g", F.size("e").alias("n"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query("""with recursive o as (select l_suppkey, l_quantity a, l_extendedprice / 1000 s, l_extendedprice / 1000 + l_linenumber e, row_number() over (partition by l_suppkey order by l_quantity, l_extendedprice / 1000, l_extendedprice / 1000 + l_linenumber) rn from lineitem),
+r(l_suppkey, rn, a, s, e, run) as (select l_suppkey, rn, a, s, e, 1 from o where rn = 1 union all
+  select o.l_suppkey, o.rn, case when j then r.a else o.a end, case when j then r.s else o.s end, case when j then greatest(r.e, o.e) else o.e end, case when j then run else run + 1 end
+  from r join o on o.l_suppkey = r.l_suppkey and o.rn = r.rn + 1, lateral (select abs(o.a - r.a) <= 2.0 and o.s <= r.e + 2.0 j))
+select l_suppkey, min(a) as at, min(s) as start, max(e) as stop from r group by l_suppkey, run""")
 def segment_merge(spark, d):
     s = F.struct((F.col("l_quantity")).alias("at"), (F.col("l_extendedprice") / 1000).alias("start"), (F.col("l_extendedprice") / 1000 + F.col("l_linenumber")).alias("stop"))
-    rows = _t(spark, d, "lineitem").where("l_linenumber >= 6").groupBy("l_suppkey").agg(geometry.merge_segments(F.collect_list(s)).alias("m"))
+    rows = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(geometry.merge_segments(F.collect_list(s)).alias("m"))
     return rows.select("l_suppkey", F.explode("m").alias("s")).select("l_suppkey", "s.*")
 
 
@@ -458,13 +458,20 @@ def merged_ranges(spark, d):
     return geometry.merged_spans(rows, ["l_suppkey"], "a", "b")
 
 
-BOXES = [(0, 0.0, 0.0, 200.0, 10.0), (1, 0.0, 30.0, 90.0, 40.0), (2, 0.0, 45.0, 90.0, 55.0), (3, 110.0, 30.0, 200.0, 40.0), (4, 110.0, 45.0, 200.0, 55.0)]
+_SUPPLIED = "select s_nationkey page, cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) item from {t}"
 
 
-@query(_values([(0, 0, 0, False), (1, 1, 1, True), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 2, True)], 'item, place, "group", columnar'))
+@query(f"""with s as ({_SUPPLIED.format(t='supplier')}), c as (select page, count(*) n from s group by page)
+select page, item, cast(case when item % 2 = 1 then 1 + item // 2 else (n + 1) // 2 + item // 2 end as int) place, cast(case when n < 2 then 0 when item % 2 = 1 then 1 else 2 end as int) as "group", n >= 2 columnar from s join c using (page)
+union all select n_nationkey, 0, 0, 0, false from nation""")
 def reading_order_two_columns(spark, d):
-    rows = spark.createDataFrame([(0, *b) for b in reversed(BOXES)], "page int, item int, l double, t double, r double, b double")
-    return geometry.reading_order(rows, ["page"], "item").drop("page")
+    """A page for each nation: a line across the top, and its suppliers in two columns below, drawn row by row."""
+    _t(spark, d, "supplier").createOrReplaceTempView("__suppliers")
+    right, row = F.col("item") % 2 == 0, F.floor((F.col("item") - 1) / 2)
+    left, top = F.when(right, 110.0).otherwise(0.0), row * 15.0 + 30.0
+    s = spark.sql(_SUPPLIED.format(t="__suppliers")).select("page", "item", left.alias("l"), top.alias("t"), (left + 90.0).alias("r"), (top + 10.0).alias("b"))
+    head = _t(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.lit(0).alias("item"), F.lit(0.0).alias("l"), F.lit(0.0).alias("t"), F.lit(200.0).alias("r"), F.lit(10.0).alias("b"))
+    return geometry.reading_order(s.union(head), ["page"], "item")
 
 
 _STATEMENT = "with p as (select o_orderkey // 160 as page_no, *, row_number() over (partition by o_orderkey // 160 order by o_orderkey) - 1 rn, count(*) over (partition by o_orderkey // 160) n from orders)"
@@ -488,7 +495,9 @@ def statement_roundtrip(spark, d):
     return found.select("page_no", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), V.detect(F.col("text")).alias("v")).select("page_no", "r", "c", "v.num", "v.kind")
 
 
-@query()
+@query("""with t as (select o_orderkey // 160 page_no, cast(count(*) as int) n, max(length(cast(o_orderkey as varchar))) a, max(length(format('{:,.2f}', o_totalprice))) b from orders group by 1 having count(*) >= 3),
+c as (select *, lag(page_no) over w = page_no - 1 and abs(a - lag(a) over w) <= 2 and abs(b - lag(b) over w) <= 2 goes_on from t window w as (order by page_no))
+select page_no, 0 grid_no, n as rows, 4 cols, cast(sum(case when goes_on then 0 else 1 end) over (order by page_no) as bigint) table_no from c""")
 def multi_page_table(spark, d):
     frags = geometry.fragments(_statement(spark, d).withColumn("file", F.lit(0)), ["file", "page_no"])
     return geometry.chained_tables(geometry.loose_tables(frags, ["file", "page_no"]), "file", "page_no").select("page_no", "grid_no", "rows", "cols", "table_no")
@@ -571,3 +580,6 @@ def merged_files(spark, d):
     f = _documents_as_files(spark, d).withColumn("doc_id", F.col("path").cast("long")).join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     merged = rewrite.merge(f, "lang", F.col("doc_id")).withColumnRenamed("lang", "path")
     return files.read(merged, "info").select(F.col("path").alias("lang"), "pages")
+
+
+from folio.plans import layout  # noqa: E402, F401  more queries
