@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = "8m"  # bytes of a batch between Spark and a worker
+READ_ROWS = 512  # rows that a scan decodes at once: the default of 4,096 long texts fills a JVM with arrays of many MB
+ROW_GROUP = 16 << 20  # bytes that a writer of intermediate tables holds
 PART = 128 << 20  # bytes of text a task of a shuffle is meant to get
 
 
@@ -27,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there. forget() removes it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -67,8 +69,10 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """df, with batches to workers bounded in its session: texts of any length make the default of 10,000 rows unbounded."""
+    """df, with batches to workers, and of scans, bounded in its session: texts of any length make the defaults of 10,000 and
+    4,096 rows unbounded."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     return df
 
 
