@@ -9,7 +9,10 @@ from folio.operators import layout
 from folio.plans.queries import _t, query
 
 _GLYPHS = "select l_orderkey, l_linenumber, l_partkey, l_quantity * 12 x, l_extendedprice / 120 y, l_tax * 100 + 4 size, cast(l_linenumber % 4 * 90 as int) rot, l_linenumber % 3 = 0 vertical from {t}"
-_BOX = F.array(F.lit(10.0), F.lit(20.0), F.lit(605.0), F.lit(862.0))
+
+
+def _box():
+    return F.array(F.lit(10.0), F.lit(20.0), F.lit(605.0), F.lit(862.0))
 
 
 def _glyphs(spark, d):
@@ -23,9 +26,9 @@ _SHOWN = "case rot when 90 then {y} - 20 when 180 then 605 - ({x}) when 270 then
 @query(f"""with g as ({_GLYPHS.format(t='lineitem')}), s as (select *, {_SHOWN[0].format(x='x', y='y')} px, {_SHOWN[1].format(x='x', y='y')} py from g)
 select l_orderkey, l_linenumber, l_partkey, round(px, 6) px, round(py, 6) py, round(x, 6) x, round(y, 6) y, x between 10 - greatest(size, 1) * 0.5 and 605 + greatest(size, 1) * 0.5 and y between 20 - greatest(size, 1) * 0.5 and 862 + greatest(size, 1) * 0.5 on_page from s""")
 def shown_points(spark, d):
-    g = _glyphs(spark, d).withColumn("s", P.shown_point(F.col("x"), F.col("y"), _BOX, F.col("rot")))
-    back = P.user_point(F.col("s.x"), F.col("s.y"), _BOX, F.col("rot"))
-    near = P.near_page(F.col("x"), F.col("y"), F.col("size"), _BOX)
+    g = _glyphs(spark, d).withColumn("s", P.shown_point(F.col("x"), F.col("y"), _box(), F.col("rot")))
+    back = P.user_point(F.col("s.x"), F.col("s.y"), _box(), F.col("rot"))
+    near = P.near_page(F.col("x"), F.col("y"), F.col("size"), _box())
     r = lambda c: F.round(c, 6)
     return g.select("l_orderkey", "l_linenumber", "l_partkey", r("s.x").alias("px"), r("s.y").alias("py"), r(back["x"]).alias("x"), r(back["y"]).alias("y"), near.alias("on_page"))
 
@@ -38,7 +41,7 @@ select l_orderkey, l_linenumber, l_partkey, array_to_string(list_transform(cell,
 def glyph_boxes(spark, d):
     g = F.struct("x", "y", F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), (F.col("size") * 3).alias("adv"), "size", "vertical")
     told = lambda box: F.array_join(F.transform(box, lambda v: F.round(v * 1000).cast("long").cast("string")), " ")
-    return _glyphs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", told(P.glyph_box(g, _BOX, F.col("rot"))).alias("cell"), told(P.ink_box(g, _BOX, F.col("rot"))).alias("ink"))
+    return _glyphs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", told(P.glyph_box(g, _box(), F.col("rot"))).alias("cell"), told(P.ink_box(g, _box(), F.col("rot"))).alias("ink"))
 
 
 @query("""with r as (select p_partkey, [p_size * 4.0, 10.0, p_size * 4.0 + p_partkey % 5, 20.0] a, [100.0, 15.0, 150.25, 20.25] b from part)
