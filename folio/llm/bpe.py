@@ -388,10 +388,31 @@ class Lexicon:
 
 class Encoder:
     MOST_KNOWN = 1 << 16  # words of the library that are remembered
+    MOST_MERGED = 1 << 17  # merged pieces that are remembered
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
         self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.merged: dict[bytes, int] = {}  # the place of each remembered piece in `spans`
+        self.pool, self.spans = np.zeros(0, np.int32), np.zeros((0, 2), np.int64)  # their ids; start and number of each one's
+
+    def _merge(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece's ids stand in the pool, and how many they are; pieces of earlier texts are not merged again."""
+        if len(self.merged) + len(pieces) > self.MOST_MERGED:
+            self._forget()
+        at = np.fromiter((self.merged.get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [pieces[k] for k in new.tolist()]
+            ids, o = self.v.merge(np.frombuffer(b"".join(fresh), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in fresh])]).astype(np.int64))
+            at[new] = np.arange(len(self.spans), len(self.spans) + len(fresh))
+            self.merged.update(zip(fresh, at[new].tolist(), strict=True))
+            self.spans = np.concatenate([self.spans, np.stack([o[:-1] + len(self.pool), np.diff(o)], 1)])
+            self.pool = np.concatenate([self.pool, ids])
+        return self.spans[at]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another, and each text's offset."""
@@ -400,10 +421,11 @@ class Encoder:
         data, o = p.utf8(first)
         number = self.lexicon.transducer.find(data, o) if self.lexicon else np.full(len(first), -1)
         unseen = np.flatnonzero(number < 0)
-        bytes_, uo = _text.gather(data, o[unseen], o[unseen + 1])
-        ids, io = self.v.merge(bytes_, uo)
+        raw, cut = data.tobytes(), o.tolist()
+        found = self._merge([raw[cut[k] : cut[k + 1]] for k in unseen.tolist()])
+        ids = self.pool
         starts, counts = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
-        starts[unseen], counts[unseen] = io[:-1], np.diff(io)
+        starts[unseen], counts[unseen] = found[:, 0], found[:, 1]
         if self.lexicon:
             seen = number >= 0
             at = self.lexicon.offsets

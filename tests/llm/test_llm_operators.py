@@ -102,6 +102,16 @@ def test_every_code_point_without_the_library_equals_it(path):
     assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(rows, rows[1:], want, strict=False))
 
 
+def test_remembered_pieces_are_the_same(path):
+    r = random.Random(31)
+    encoder, library = bpe.Encoder(bpe.vocabulary(path), None), bpe.vocabulary(path).library
+    encoder.MOST_MERGED = 60
+    for _ in range(12):  # remembered, new and forgotten ones
+        texts = [" ".join("".join(r.choice("abé1") for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 30))) for _ in range(4)]
+        ids, rows = encoder(texts)
+        assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_hard_words_alone_go_to_the_library(path):
     say = "It’s an em—dash, „quotes“, Привет мир! 你好，世界。 καλημέρα ΣΟΦΟΣ cafe\u0301 x\U0001f600y <|endoftext|>b naïve e\u0301\u0323 \u1100\u1161 한국어 "
     texts = [say * 3, "'s " + say, None, say.replace(" ", "\u3000"), "\U0001f600", "a\U0001f600", "'\U0001f600's", "x'" + say]
