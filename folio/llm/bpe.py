@@ -254,14 +254,38 @@ class Vocabulary:
         self.ending = np.array([vocab[char[b] + suffix] for b in range(256)], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key, kind="stable")
-        self.pair, self.rank = key[order], np.arange(len(pairs), dtype=np.int32)[order]
+        self.pair, self.rank = key, np.arange(len(pairs), dtype=np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self._slots = max(10, (4 * len(pairs)).bit_length())  # a hash table a quarter full, at most; full slots lead on to the next
+        self._keys, self._ranks = np.full((1 << self._slots) + len(pairs), -1, np.int64), np.full((1 << self._slots) + len(pairs), NONE, np.int32)
+        left, slot = np.arange(len(pairs)), self._slot(key)
+        while len(left):
+            free = self._keys[slot] == -1
+            _, first = np.unique(slot, return_index=True)
+            put = np.zeros(len(left), bool)
+            put[first] = True
+            put &= free
+            self._keys[slot[put]], self._ranks[slot[put]] = key[left[put]], self.rank[left[put]]
+            left, slot = left[~put], slot[~put]
+            slot = slot + (self._keys[slot] != -1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._slots)).view(np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (b >= 0) & (a >= 0), self.rank[at], NONE)
+        slot = self._slot(key)
+        found = self._keys[slot]
+        out = np.where(found == key, self._ranks[slot], NONE)
+        more = (found != key) & (found != -1)
+        while more.any():
+            k = np.nonzero(more)
+            slot[k] += 1
+            found = self._keys[slot[k]]
+            hit = found == key[k]
+            out[k] = np.where(hit, self._ranks[slot[k]], out[k])
+            more[k] = ~hit & (found != -1)
+        return np.where((b >= 0) & (a >= 0), out, NONE)
 
     def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The exact ids of many pieces: in each, the lowest-ranked pair merges, leftmost first, until none is left."""
@@ -388,7 +412,7 @@ class Lexicon:
 
 class Encoder:
     MOST_KNOWN = 1 << 16  # words of the library that are remembered
-    MOST_MERGED = 1 << 17  # merged pieces that are remembered
+    MOST_MERGED = 1 << 18  # merged pieces that are remembered
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
