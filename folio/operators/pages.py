@@ -37,11 +37,26 @@ def page_ranges(spec: str, pages: Column) -> Column:
     return F.concat(*parts)
 
 
+def _places(spec: str, page: Column, pages: Column) -> Column:
+    """The places (from 0) that a page has in the list that page_ranges makes, as array<int>: one for each entry that names it.
+    A page past the end raises an error when the row is read."""
+    places, before = [], F.lit(0)
+    for first, last in parse_ranges(spec):
+        end = pages if last is None else F.lit(last)
+        good = (F.lit(first) <= pages) & (end <= pages)
+        message = F.concat(F.lit(f"page {max(first, last or 0)} is out of range: the document has "), pages.cast("string"), F.lit(" pages"))
+        place = F.when(page.between(F.lit(first), end), (before + page - first).cast("int"))
+        places.append(F.when(good, place).otherwise(F.raise_error(message).cast("int")))
+        before = before + end - first + 1
+    return F.array_compact(F.array(*places))
+
+
 def extract(pages: DataFrame, spec: str, file: str = "path") -> DataFrame:
-    """The pages that the list names, of every file, with out_no: bag semantics."""
+    """The pages that the list names, of every file, with out_no: bag semantics. Each page tells its places from its file's number
+    of pages: the list itself, as long as the files, is never laid out to be joined."""
     counts = pages.groupBy(file).agg(F.max("page_no").cast("int").alias("__n"))
-    wanted = counts.select(file, F.posexplode(page_ranges(spec, F.col("__n"))).alias("__at", "page_no"))
-    return pages.join(wanted, [file, "page_no"]).withColumn("out_no", F.col("__at") + 1).drop("__at")
+    placed = pages.join(counts, file).withColumn("__at", F.explode(_places(spec, F.col("page_no"), F.col("__n"))))
+    return placed.withColumn("out_no", F.col("__at") + 1).drop("__at", "__n")
 
 
 def delete(pages: DataFrame, spec: str, file: str = "path") -> DataFrame:

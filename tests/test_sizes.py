@@ -43,3 +43,19 @@ def test_lines_with_long_runs_gone_stay_whole(agree, spark):
     assert [(r["rect_no"], r["l"], r["r"], r["t"]) for r in found] == [(1, 0.0, 240.0, 0.0), (2, 234.0, 240.0, 20.0), (3, 0.0, 174.0, 40.0)]
     chars = spark.createDataFrame([(0, k, x, 0.0, x + 6, 10.0) for k, x in enumerate((0.0, 35.9, 72.0))], "f int, i int, l double, t double, r double, b double")
     assert layout.selection_rects(chars, ["f"], "i").count() == 2
+
+
+def test_a_page_list_is_never_laid_out_to_be_joined(spark):
+    """An open range names every page of every file: as many rows as there are pages, which may not go to one place."""
+    from pyspark.sql import functions as F
+
+    from folio.operators import pages
+
+    p = spark.range(30000).select((F.col("id") % 3).alias("path"), F.floor(F.col("id") / 3 + 1).cast("int").alias("page_no"), "id")
+    out = pages.extract(p, "2-3,1,1,2-")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")  # the list's entries are told behind the join, of each page alone
+    rows = {(r.path, r.out_no): r.page_no for r in out.collect()}
+    assert len(rows) == 30009 and [rows[2, k] for k in range(1, 7)] == [2, 3, 1, 1, 2, 3] and rows[1, 10003] == 10000
+    gaps = spark.createDataFrame([(0, 1, "a"), (0, 4, "b"), (0, 4, "c"), (None, 9, "d")], "path int, page_no int, n string")
+    assert sorted((r.out_no, r.n) for r in pages.extract(gaps, "4,1-2,3-").collect()) == [(1, "b"), (1, "c"), (2, "a"), (5, "b"), (5, "c")]
