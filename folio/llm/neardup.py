@@ -6,8 +6,9 @@ in SLOTS hashed slots, so that what workers receive has one size for any corpus.
 joins ROWS samples; texts that share a band value meet at the band's lead, and the weighted Jaccard
 similarity of each text with its leads is computed from the whole texts. Where a text is unlike its
 lead, the lead's members meet once more by their rarest shingles (prefix filtering): all that share one
-which few of them have, and those with a more frequent one by leads again. Links are merged to classes by
-alternating stars.
+which few of them have, and those with a more frequent one by leads again. What these cannot tell is compared
+in full: all pairs of a lead's members, in blocks of a bounded size, so that of the texts that share a bucket no
+similar pair is lost. Links are merged to classes by alternating stars.
 
 The damping keeps weights within 1 to 1 + DAMP: in a family of thousands of near copies the shared
 shingles are frequent and the few changed ones rare, and a larger span tears it apart (with 0.25, texts
@@ -32,6 +33,7 @@ BANDS, ROWS = 12, 4
 RINGS = (1, 5)  # pairs of bands at these distances are buckets, too
 ORDERS = 4  # a bucket's lead is the least by one of so many orders
 FEW, LEADS = 32, 32  # members that all meet each other by a shingle; leads of a shingle that more of them have
+SIDE, ROOM = 1024, 1 << 21  # texts, and bytes of them, of a block when all pairs of a lead's members are compared
 SIMILAR = 0.8
 NULL_ID = -(1 << 63)
 
@@ -262,14 +264,14 @@ def _prefixes(texts: DataFrame, slots, frequencies, least: float) -> DataFrame:
     return _store.batched(texts.select("node", "root", "text")).mapInArrow(run, "node binary, root binary, shingle long, weight double, short boolean")
 
 
-def _second(judged: DataFrame, texts: DataFrame, slots, least: float) -> DataFrame:
-    """Pairs (a, b) of members whose leads cannot tell and that no links join yet, by the shingles of their prefixes.
+def _second(judged: DataFrame, texts: DataFrame, slots, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members whose leads cannot tell and that no links join yet, by the shingles of their prefixes; and the
+    members (node, root) whose pairs these need not all be.
 
     Members that share a shingle with at most FEW of them meet each other: FEW pairs a row at most. Of the more frequent
     shingles each member takes two, the least by two orders, and meets the shingle's leads, the least members of LEADS
-    slices: 2 * LEADS pairs a member at most. So pairs grow with the rows, not with the square of a group. Two texts
-    that share no shingle of few members are linked if one of them is a lead, or if a lead is like both; in a
-    large family of texts about as alike as the threshold some links are lost.
+    slices: 2 * LEADS pairs a member at most. So pairs grow with the rows, not with the square of a group. A similar pair
+    that is none of them shares a more frequent shingle; _rest compares the members that have one.
     """
     stars = judged.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("similar")).alias("failed")).where("n > 1 and failed > 0")
     members = _store.matched(judged.select("a", "b"), stars.select("a", "n"), "a", judged.count()).select(F.col("b").alias("node")).distinct()
@@ -296,7 +298,127 @@ def _second(judged: DataFrame, texts: DataFrame, slots, least: float) -> DataFra
     met = one.join(other, "shingle").where("root_a != root_b").where(F.col("x") <= F.col("y") * (1 + 1e-6)).select("a", "b", "x", "y")
     both = led.union(met).where(F.least("x", "y") >= F.greatest("x", "y") * (least - 1e-6))
     out = _store.written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    left = _store.written(taken.select("node", "root").distinct(), "left")
     _store.forget(members, rows, taken)
+    return out, left
+
+
+def _alike(row: np.ndarray, h: np.ndarray, count: np.ndarray, slots: np.ndarray, side: np.ndarray, both: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (rows) of similar texts by weighted Jaccard, from the shingles of each: of texts on side 0 with those on side 1
+    if both, else of texts on side 0."""
+    n = len(side)
+    weight = slots[(h % np.uint64(SLOTS)).astype(np.int64)].astype(np.float64)
+    total = np.bincount(row, weight * count, n)
+    # a shingle's k-th use in a text is a feature of its own: what two texts have in common is the weight of features of both
+    use = np.repeat(np.arange(len(h)), count)
+    nth = _text.ranges(np.zeros(len(count), np.int64), count).astype(np.uint64)
+    row, weight = row[use], weight[use]
+    _, feature = np.unique(_text.mix(h[use] + nth * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
+    while True:  # what only one text has is in no pair, nor is a text of which too little is left
+        met = np.bincount(feature[side[row] == 0], minlength=feature.max(initial=-1) + 1)
+        other = np.bincount(feature[side[row] == 1], minlength=len(met)) if both else met - 1
+        shared = (met[feature] > 0) & (other[feature] > 0)
+        able = np.bincount(row[shared], weight[shared], n) >= least * total * (1 - 1e-9)
+        shared &= able[row]
+        if shared.all():
+            break
+        row, weight, feature = row[shared], weight[shared], feature[shared]
+    able &= total > 0
+    x = np.flatnonzero(able & (side == 0))
+    y = np.flatnonzero(able & (side == 1)) if both else x
+    if not len(x) or not len(y):
+        return x[:0], y[:0]
+    _, feature = np.unique(feature, return_inverse=True)
+    order = np.argsort(feature, kind="stable")
+    row, weight, feature = row[order], weight[order], feature[order]
+    place = np.zeros(n, np.int64)
+    place[x] = np.arange(len(x))
+    place[y] = np.arange(len(y))  # the same if x is y
+    left, right = (side[row] == 0, side[row] == 1) if both else (np.ones(len(row), bool),) * 2
+    fx, px, wx, fy, py = feature[left], place[row[left]], weight[left], feature[right], place[row[right]]
+    size = feature[-1] + 1
+    nx, ny = np.bincount(fx, minlength=size), np.bincount(fy, minlength=size)
+    common = np.zeros((len(x), len(y)))
+    dense = nx * ny * 8 > len(x) * len(y)  # features of many texts by products of matrices, the others pair by pair
+    many = np.flatnonzero(dense)
+    for k in range(0, len(many), 512):
+        to = np.full(size, -1)
+        to[many[k : k + 512]] = np.arange(len(many[k : k + 512]))
+        a, b = np.zeros((len(x), 512)), np.zeros((len(y), 512))
+        i, j = to[fx] >= 0, to[fy] >= 0
+        a[px[i], to[fx[i]]] = wx[i]
+        b[py[j], to[fy[j]]] = 1
+        common += a @ b.T
+    start = np.cumsum(ny) - ny
+    few = np.flatnonzero(~dense[fx])
+    pairs = np.cumsum(ny[fx[few]])
+    at = 0
+    while at < len(few):
+        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + (1 << 21), "right")))
+        some = few[at:to]
+        reps = ny[fx[some]]
+        cell = np.repeat(px[some], reps) * len(y) + py[_text.ranges(start[fx[some]], reps)]
+        common += np.bincount(cell, np.repeat(wx[some], reps), common.size).reshape(common.shape)
+        at = to
+    good = common >= least * (total[x][:, None] + total[y][None, :] - common)
+    i, j = np.nonzero(good if both else np.triu(good, 1))
+    return x[i], y[j]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links a[k], b[k] join what those before them do not."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
+
+    out = []
+    for k, (v, w) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        v, w = find(v), find(w)
+        if v != w:
+            up[v] = w
+            out.append(k)
+    return out
+
+
+def _rest(judged: DataFrame, left: DataFrame, texts: DataFrame, slots, least: float) -> DataFrame:
+    """Links (a, b) that join all that similar pairs among each lead's members join, of the members `left` (node, root).
+
+    Texts that share a bucket are members of its lead: this is the exact way for what leads cannot tell. A lead's members are
+    dealt to blocks of about SIDE texts and ROOM bytes at most, and every two blocks meet in one group, whose pairs are
+    compared at once: comparisons grow with the square of the members, rows with their number of blocks, and links not
+    beyond the rows. A lead whose members are all joined already has no work.
+    """
+    length = sum(F.conv(F.hex(F.substring("text", k + 1, 1)), 16, 10).cast("long") * 256**k for k in range(6))
+    sized = left.join(texts.select("node", length.alias("size")), "node")
+    rows = judged.select("a", F.col("b").alias("node")).join(sized, "node")
+    rows = _store.written(rows, "rest")
+    stars = rows.groupBy("a").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    stars = stars.select("a", "n", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("bytes") / ROOM)).cast("int").alias("blocks"))
+    met = _store.matched(rows, stars, "a", rows.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "root", "a", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(texts, "node").repartition(_store.shuffle_parts(judged.sparkSession), "a", "i", "j")
+
+    def run(group: pa.Table) -> pa.Table:
+        root = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        if (root == root[0]).all():
+            return pa.table([pa.array([], pa.binary())] * 2, ["a", "b"])
+        both = group["i"][0] != group["j"][0]
+        side = (group["block"].to_numpy() != group["i"][0].as_py()).astype(np.int64)
+        x, y = _alike(*shingles(_unpacked(group["text"].combine_chunks())), slots.value, side, both, least)
+        new = np.flatnonzero(root[x] != root[y])
+        _, first = np.unique(np.minimum(root[x], root[y])[new] * np.int64(len(root)) + np.maximum(root[x], root[y])[new], return_index=True)
+        new = new[first]
+        new = new[_forest(root[x[new]], root[y[new]])]
+        node = group["node"].combine_chunks()
+        return pa.table([node.take(pa.array(x[new])), node.take(pa.array(y[new]))], ["a", "b"])
+
+    found = _store.batched(dealt).groupBy("a", "i", "j").applyInArrow(run, "a binary, b binary")
+    out = _store.written(found, "found")
+    _store.forget(rows)
     return out
 
 
@@ -308,10 +430,11 @@ def links(nodes: DataFrame, docs: DataFrame, slots, least: float = SIMILAR) -> D
     texts = _packed(docs.withColumn("id", F.coalesce("id", F.lit(NULL_ID)))).join(wanted, ["node", "id"]).dropDuplicates(["node", "id"]).select("node", "text")
     texts = _store.written(texts, "texts")
     judged = _store.written(_compared(pairs, texts, slots, least), "judged")
-    more = _second(judged, texts, slots, least)
+    more, left = _second(judged, texts, slots, least)
     again = _compared(more, texts, slots, least)
-    out = _store.written(judged.union(again).where("similar").select("a", "b").distinct(), "links")
-    _store.forget(pairs, texts, judged, more)
+    rest = _rest(judged, left, texts, slots, least)
+    out = _store.written(judged.union(again).where("similar").select("a", "b").union(rest).distinct(), "links")
+    _store.forget(pairs, texts, judged, more, left, rest)
     return out
 
 
