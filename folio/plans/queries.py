@@ -578,8 +578,7 @@ def merged_files(spark, d):
     from folio.sources import rewrite
 
     f = _documents_as_files(spark, d).withColumn("doc_id", F.col("path").cast("long")).join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    merged = rewrite.merge(f, "lang", F.col("doc_id")).withColumnRenamed("lang", "path")
-    return files.read(merged, "info").select(F.col("path").alias("lang"), "pages")
+    return rewrite.merge(f, "lang", F.col("doc_id"), "info").select("lang", "pages")
 
 
 from folio.plans import layout  # noqa: E402, F401  more queries

@@ -59,3 +59,22 @@ def test_a_page_list_is_never_laid_out_to_be_joined(spark):
     assert len(rows) == 30009 and [rows[2, k] for k in range(1, 7)] == [2, 3, 1, 1, 2, 3] and rows[1, 10003] == 10000
     gaps = spark.createDataFrame([(0, 1, "a"), (0, 4, "b"), (0, 4, "c"), (None, 9, "d")], "path int, page_no int, n string")
     assert sorted((r.out_no, r.n) for r in pages.extract(gaps, "4,1-2,3-").collect()) == [(1, "b"), (1, "c"), (2, "a"), (5, "b"), (5, "c")]
+
+
+def test_a_merged_file_is_made_one_source_at_a_time(spark):
+    """Files of a group in order, a broken one an error row of its group; no array of all its files, and the same told by `want`."""
+    from pyspark.sql import functions as F
+
+    from folio.sources import files, rewrite
+    from folio.sources.pdf import writer
+
+    rows = [(k % 3 if k % 4 else None, k, writer.text_file([[f"text {k}"]] * (k % 2 + 1))) for k in reversed(range(60))] + [(7, 1, b"none"), (7, 2, writer.text_file([["x"]]))]
+    source = spark.createDataFrame(rows, "g int, k int, content binary")
+    merged = rewrite.merge(source, "g", F.col("k"))
+    assert "collect_list" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.g: r.status for r in merged.collect()} == {0: "ok", 1: "ok", 2: "ok", None: "ok", 7: "error"}
+    lines = files.read(merged.where("status = 'ok'").select(F.coalesce(F.col("g").cast("string"), F.lit("none")).alias("path"), "content"), "lines")
+    found = [r.line.strip() for r in lines.where("path = '1'").orderBy("page_no", "line_no").collect()]
+    assert found == [f"text {k}" for k in range(60) if k % 3 == 1 and k % 4 for _ in range(k % 2 + 1)]
+    info = {r.g: (r.pages, r.repaired, r.status) for r in rewrite.merge(source, "g", F.col("k"), "info").collect()}
+    assert info[1] == (len(found), False, "ok") and info[None] == (15, False, "ok") and info[7][2] == "error" and len(info) == 5
