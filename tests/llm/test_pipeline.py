@@ -51,6 +51,14 @@ def test_empty_table_passes(spark, tables):
         assert docs.isEmpty()
 
 
+def test_driver_is_swept_after_each_write(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
+    before = full()
+    _store.forget(_store.written(spark.range(3), "done"))
+    assert full() > before
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
