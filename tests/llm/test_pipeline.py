@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_pairs import alike_pairs, family, joined
 
 import corpus_pipeline
-from folio.llm import _store, queries
+from folio.llm import _store, neardup, queries
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +53,17 @@ def test_empty_table_passes(spark, tables):
         assert docs.isEmpty()
 
 
+def test_near_copies_that_share_frequent_shingles_alone_are_one(spark):
+    """The stage joins what all pairs of a bucket's members join: one row of each such class stays, that of the least key."""
+    rows = family(11, 500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = neardup.slot_weights(neardup.document_frequencies(docs))
+    bands = [neardup.samples(row, h, neardup._weights(h, n, slots))[1][0] for _, t in rows for row, h, n in [neardup.shingles(pa.array([t]))]]
+    met = joined(rows, [(x, y) for x, y in alike_pairs(rows, slots) if (bands[x] == bands[y]).any()])
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept <= set(met.values()) and 50 < len(kept) < 450
+
+
 def test_driver_is_swept_after_each_write(spark):
     beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
     full = lambda: sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
